@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op3_extendible_shards": sharding.op3_extendible_shards,
+        "op7_simhash_components": simhash.op7_simhash_components,
     }
 
 
