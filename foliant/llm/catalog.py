@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import bpe, packing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op3_extendible_shards": sharding.op3_extendible_shards,
+        "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
         "op7_simhash_components": simhash.op7_simhash_components,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
     }
 
 
