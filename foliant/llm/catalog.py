@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lempel_ziv, packing, sharding, simhash
+from . import bpe, lempel_ziv, packing, quality_model, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
         "op7_simhash_components": simhash.op7_simhash_components,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_additive_quality": quality_model.op9_additive_quality,
         "op10_relative_lempel_ziv": lempel_ziv.op10_relative_lempel_ziv,
     }
 
