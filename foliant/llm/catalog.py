@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, lempel_ziv, packing, quality_model, sharding, simhash
+from . import bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op3_extendible_shards": sharding.op3_extendible_shards,
         "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
+        "op5_credential_linking": secrets.op5_credential_linking,
+        "op6_decision_list": quality_rules.op6_decision_list,
         "op7_simhash_components": simhash.op7_simhash_components,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_additive_quality": quality_model.op9_additive_quality,
