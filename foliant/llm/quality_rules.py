@@ -98,12 +98,12 @@ class DecisionList:
         hits = np.stack([x[:, f] <= t if op == "<=" else x[:, f] > t for f, op, t in tests])
         left = np.ones(len(x), bool)
         for _ in range(self.max_rules):
-            rule = self._grow(hits, reject, left & ~apart)
-            rule = self._prune(rule, hits, reject, left & apart)
-            if not rule:
-                break
-            covered = hits[rule].all(axis=0) & left
-            if covered.sum() < self.least or reject[covered].mean() < self.precision:
+            grown = self._grow(hits, reject, left & ~apart)
+            for rule in (self._prune(grown, hits, reject, left & apart), grown):
+                covered = hits[rule].all(axis=0) & left
+                if rule and covered.sum() >= self.least and reject[covered].mean() >= self.precision:
+                    break
+            else:
                 break
             self.rules.append([(names[tests[r][0]], tests[r][1], float(tests[r][2])) for r in rule])
             left &= ~covered
