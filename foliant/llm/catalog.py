@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash
+from . import bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_separator_scan": token_counts.op2_separator_scan,
         "op3_extendible_shards": sharding.op3_extendible_shards,
         "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
         "op5_credential_linking": secrets.op5_credential_linking,
