@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts
+from . import additive_quantisation, bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_additive_quantisation": additive_quantisation.op1_additive_quantisation,
         "op2_separator_scan": token_counts.op2_separator_scan,
         "op3_extendible_shards": sharding.op3_extendible_shards,
         "op4_pair_index_bpe": bpe.op4_pair_index_bpe,
