@@ -5,6 +5,12 @@ from __future__ import annotations
 from . import additive_quantisation, bpe, lempel_ziv, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_additive_quantisation": additive_quantisation.op1_additive_quantisation,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_additive_quality": quality_model.op9_additive_quality,
         "op10_relative_lempel_ziv": lempel_ziv.op10_relative_lempel_ziv,
+        "pipeline": pipeline,
     }
 
 

@@ -18,6 +18,7 @@ other columns are ignored by `duplicate_words` and kept by `without_duplicates`.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -238,5 +239,41 @@ def duplicate_words(docs: DataFrame, window: int = 20, key: str = "doc_id", text
     )
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_words(text: str, spans) -> str:
+    """The text without the words of the spans and the white space after them."""
+    data = text.encode("utf-8", "surrogatepass")
+    at = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+    out, pos = [], 0
+    for s in sorted(spans, key=lambda s: s["start"]):
+        a, b = at[min(s["start"], len(at) - 1)], at[min(s["end"], len(at) - 1)]
+        if a > pos:
+            out.append(data[pos:a])
+        pos = max(pos, b)
+    out.append(data[pos:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def without_duplicates(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The input rows with duplicate passages cut out of their texts; rows that lose all their words go. `length` follows if there is such a column."""
+    _, texts, factors = parse(docs, window, key, text)
+    whole = texts.where("copy_of is not null").select("k", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("ref"))).alias("spans"))
+    changes = stage(factors.unionByName(whole).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("__spans")).withColumnRenamed("k", "__k"), "rlz-changes")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else cut_words(t, s) for t, s in zip(texts, spans)])
+
+    kept = docs.columns
+    rows = docs.join(changes, F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("__k"), "left")
+    some = F.col("__spans").isNotNull()
+    rows = rows.withColumn(text, F.when(some, cut(text_or_empty(text), "__spans")).otherwise(F.col(text)))
+    if length in kept:
+        rows = rows.withColumn(length, F.when(some, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return rows.where(~some | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*kept)
+
+
 def op10_relative_lempel_ziv(spark, sf_dir):
     return duplicate_words(load(spark, sf_dir, "documents"))

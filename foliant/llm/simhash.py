@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import load, release, settle, slices, stage, text_or_empty
+from ._common import load, settle, slices, stage, text_or_empty
 from .graph import connected_components
 
 CHUNK = 4096
@@ -33,7 +33,7 @@ STRIDE = 1 << 15
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprints_of(texts: list[str], shingle: int) -> np.ndarray:
+def fingerprints_of(texts: list[str], shingle: int, seed: int = 42) -> np.ndarray:
     """Signed 64-bit fingerprints."""
     out = np.zeros(len(texts), np.uint64)
     hashes: list[int] = []
@@ -65,13 +65,13 @@ def fingerprints_of(texts: list[str], shingle: int) -> np.ndarray:
         joined = b" ".join(words)
         n = max(1, len(words) - shingle + 1)
         if n == 1:
-            hashes.append(digest(joined, 42))
+            hashes.append(digest(joined, seed))
         else:
             lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
             ends = np.cumsum(lengths)
             a = (ends - lengths)[:n].tolist()
             b = (ends[shingle - 1 :] - 1).tolist()
-            hashes.extend([digest(joined[x:y], 42) for x, y in zip(a, b)])
+            hashes.extend([digest(joined[x:y], seed) for x, y in zip(a, b)])
         owner.append((i, n))
         if len(hashes) > 1 << 17:
             flush()
@@ -79,17 +79,19 @@ def fingerprints_of(texts: list[str], shingle: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp long: bit j is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, h (the text's hash), fp array of `words` longs: bit j is set if it is set in over half of the shingles' XXH64 (seeds from 42)."""
 
     def run(batches):
         for pdf in batches:
             texts = pdf["t"].tolist()
             for a, b in slices(texts):
-                yield pd.DataFrame({"k": pdf["k"].iloc[a:b], "fp": fingerprints_of(texts[a:b], shingle)})
+                fp = np.stack([fingerprints_of(texts[a:b], shingle, 42 + i) for i in range(words)], axis=1)
+                yield pd.DataFrame({"k": pdf["k"].iloc[a:b].values, "h": pdf["h"].iloc[a:b].values, "fp": list(fp)})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(run, f"k {kind}, fp long")
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    return rows.select("k", F.xxhash64("t").alias("h"), "t").mapInPandas(run, f"k {kind}, h long, fp array<long>")
 
 
 def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,39 +111,42 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """fp: unsigned fingerprints, sorted by group (non-decreasing ints). Yields index pairs of links inside groups, as a forest."""
+    """fp: (n, words) unsigned fingerprints, sorted by group (non-decreasing ints). Index pairs that span the links inside groups."""
+    n, depth = fp.shape
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
+    sizes = np.diff(np.r_[starts, n])
     words = -(-sizes // 64)
     base = np.cumsum(words) - words
     g = np.repeat(np.arange(len(starts)), sizes)
-    slot = base[g] * 64 + (np.arange(len(fp)) - starts[g])
+    slot = base[g] * 64 + (np.arange(n) - starts[g])
     total = int(words.sum())
-    padded = np.zeros(total * 64, np.uint64)
+    padded = np.zeros((total * 64, depth), np.uint64)
     padded[slot] = fp
     member = np.full(total * 64, -1, np.int64)
-    member[slot] = np.arange(len(fp))
+    member[slot] = np.arange(n)
     empty = np.packbits((member < 0).astype(np.uint8), bitorder="little").view("<u8")
-    planes = np.stack([np.packbits(((padded >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8") for p in range(64)])
+    planes = [np.packbits(((padded[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8") for p in range(64 * depth)]
     # each member meets its own word and the later ones of its group
     first = slot // 64
-    n_words = (base + words)[g] - first
-    lone = sizes[g] < 2
-    n_words = np.where(lone, 0, n_words)
+    n_words = np.where(sizes[g] < 2, 0, (base + words)[g] - first)
     ends = np.cumsum(n_words)
     levels = max(1, int(radius).bit_length())
     bias = (1 << levels) - (radius + 1)
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    held = 0
-    for at in range(0, int(ends[-1]) if len(ends) else 0, STRIDE):
+    label = np.arange(n)
+    whole = None  # the component of all members of a word, if they have one in common
+    for at in range(0, int(ends[-1]) if n else 0, STRIDE):
         ids = np.arange(at, min(at + STRIDE, int(ends[-1])))
         q = np.searchsorted(ends, ids, side="right")
         w = first[q] + ids - (ends[q] - n_words[q])
+        if whole is not None:
+            fresh = whole[w] != label[q]
+            q, w = q[fresh], w[fresh]
         over = empty[w].copy()
         count = [np.full(len(q), ONES if bias >> k & 1 else np.uint64(0)) for k in range(levels)]
-        for p in range(0, 64, 2):
-            x1 = planes[p][w] ^ np.where(fp[q] >> np.uint64(p) & np.uint64(1), ONES, np.uint64(0))
-            x2 = planes[p + 1][w] ^ np.where(fp[q] >> np.uint64(p + 1) & np.uint64(1), ONES, np.uint64(0))
+        for p in range(0, 64 * depth, 2):
+            mine = fp[q, p // 64]
+            x1 = planes[p][w] ^ -(mine >> np.uint64(p % 64) & np.uint64(1))
+            x2 = planes[p + 1][w] ^ -(mine >> np.uint64(p % 64 + 1) & np.uint64(1))
             s = count[0] ^ x1
             carry = (count[0] & x1) | (s & x2)
             count[0] = s ^ x2
@@ -156,21 +161,20 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
                     q, w, over, count = q[live], w[live], over[live], [c[live] for c in count]
                     if not len(q):
                         break
-        if len(q):
-            lanes = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            i, lane = np.nonzero(lanes)
-            a, b = q[i], member[w[i] * 64 + lane]
-            keep = b > a
-            found_a.append(a[keep])
-            found_b.append(b[keep])
-            held += int(keep.sum())
-            if held > 4 * len(fp) + STRIDE:
-                root = components_of(len(fp), np.concatenate(found_a), np.concatenate(found_b))
-                i = np.flatnonzero(root != np.arange(len(fp)))
-                found_a, found_b, held = [i], [root[i]], len(i)
-    root = components_of(len(fp), np.concatenate(found_a), np.concatenate(found_b))
-    i = np.flatnonzero(root != np.arange(len(fp)))
-    return i, root[i]
+        if not len(q):
+            continue
+        lanes = np.unpackbits((~over).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        i, lane = np.nonzero(lanes)
+        a, b = q[i], member[w[i] * 64 + lane]
+        new = (b > a) & (label[a] != label[b])
+        if new.any():
+            link = np.unique(np.stack([label[a[new]], label[b[new]]]), axis=1)
+            label = components_of(n, link[0], link[1])[label]
+            by_slot = np.where(member < 0, -1, label[member]).reshape(-1, 64)
+            least = np.where(by_slot < 0, n, by_slot).min(axis=1)
+            whole = np.where(by_slot.max(axis=1) == least, least, -1)
+    i = np.flatnonzero(label != np.arange(n))
+    return i, label[i]
 
 
 def band_masks(n: int, radius: int) -> list[int]:
@@ -190,10 +194,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, n: int, radius: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """prints(fp) distinct -> edges (a, b) that span the same components as all pairs within the radius."""
-    masks = band_masks(n, radius)
-    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.t", "s.key")
+def links(prints: DataFrame, n: int, radius: int = 4, meet: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """prints(fp) distinct -> edges (a, b) of fingerprints that span the same components as all pairs within the radius
+    whose first words, where there are several, meet under the bands of radius `meet`."""
+    masks = band_masks(n, radius if meet is None else meet)
+    keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.get("fp", F.lit(0)).bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.t", "s.key")
     hot = stage(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "simhash-hot")
     units = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
     if hot.limit(1).count():
@@ -219,26 +224,47 @@ def links(prints: DataFrame, n: int, radius: int = 4, chunk: int = CHUNK) -> Dat
             yield forest(carry["fp"].to_numpy(), np.zeros(len(carry), np.int64))
 
     def forest(fp, group):
-        fp = fp.astype(np.int64)
+        fp = np.stack(fp).astype(np.int64)
         a, b = bit_sliced_links(fp.view(np.uint64), np.asarray(group), radius)
-        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+        return pd.DataFrame({"a": pd.Series(list(fp[a]), dtype=object), "b": pd.Series(list(fp[b]), dtype=object)})
 
     ready = units.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    return ready.mapInPandas(run, "a long, b long")
+    return ready.mapInPandas(run, "a array<long>, b array<long>")
+
+
+def components(docs: DataFrame, shingle: int, radius: int, words: int = 1, meet: int | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(prints(k, h, fp), names(fp, component): the component is the smallest fingerprint reachable)."""
+    prints = stage(fingerprints(docs, shingle, words, key, text), "simhash-prints")
+    distinct = stage(prints.select("fp").distinct(), "simhash-distinct")
+    settle()
+    roots = connected_components(links(distinct, distinct.count(), radius, meet))
+    names = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
+    return prints, stage(names, "simhash-names")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: key, fp long, component_id (the smallest key reachable through links)."""
-    prints = stage(fingerprints(docs, shingle, key, text), "simhash-prints")
-    least = stage(prints.groupBy("fp").agg(F.min("k").alias("lo")), "simhash-distinct")
-    settle()
-    roots = stage(connected_components(links(least.select("fp"), least.count(), radius)), "simhash-roots")
-    # only linked fingerprints need another look at their smallest key
-    linked = roots.select("node", "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    low = linked.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("lo").alias("c"))
-    named = linked.join(low, "root").select(F.col("node").alias("fp"), "c")
-    names = stage(least.join(named, "fp", "left").select("fp", F.coalesce("c", "lo").alias("component_id")), "simhash-names")
-    return prints.join(names, "fp").select(F.col("k").alias(key), "fp", "component_id")
+    prints, names = components(docs, shingle, radius, key=key, text=text)
+    least = prints.groupBy("fp").agg(F.min("k").alias("lo")).join(names, "fp")
+    low = stage(least, "simhash-least")
+    component = low.groupBy("component").agg(F.min("lo").alias("component_id"))
+    ids = stage(low.join(component, "component").select("fp", "component_id"), "simhash-ids")
+    return prints.join(ids, "fp").select(F.col("k").alias(key), F.get("fp", F.lit(0)).alias("fp"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 20, words: int = 2, meet: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input rows without near duplicates: of each component the row of the smallest key stays, once.
+
+    128 bits: texts whose shingle sets are at least 0.8 alike (Jaccard) differ in 15 % of the bits at
+    most on average, and the second word keeps chance links of unrelated texts out however many rows
+    there are. Rows without a key stay only where no row of their component has one.
+    """
+    prints, names = components(docs, shingle, radius, words, meet, key, text)
+    keep = prints.join(names, "fp").groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("best")).select(F.col("best.k").alias("__k"), F.col("best.h").alias("__h"))
+    keep = stage(keep, "simhash-kept")
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text_or_empty(text)) == F.col("__h"))
+    # rows that are equal in key and text are one
+    return docs.join(keep, same).dropDuplicates(["__k", "__h"]).select(*docs.columns)
 
 
 def op7_simhash_components(spark, sf_dir):
