@@ -111,7 +111,7 @@ def fragment_column(text: Column, terms: list[str], stemmed: bool = True) -> Col
     return run(text)
 
 
-@F.pandas_udf("fragment string, start long, end long")
+@F.pandas_udf(T.StructType().add("fragment", "string").add("start", "long").add("end", "long"))
 def window_udf(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([window(t, int(a), int(b)) for t, a, b in zip(text, start, end)], columns=["fragment", "start", "end"])
 
