@@ -12,6 +12,34 @@ from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker holds at once; Arrow batches are cut to this.
 BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches to BATCH_BYTES, so that workers hold little however long the texts; a lower setting stays."""
+    if not str(spark.conf.get(_BATCH_CONF, "64m")).rstrip("b").isdigit() or int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def tidy(run):
+    """A mapper over batches that gives its worker's free memory back when its task ends: workers live on and do other work."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +57,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -54,6 +83,7 @@ def settle() -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

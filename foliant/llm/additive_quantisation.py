@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import load, stage
+from ._common import load, stage, tidy
 
 #: Vectors that the codebooks are fitted on at most, those of least hash.
 SAMPLE = 12_288
@@ -125,7 +125,7 @@ def index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", books
                 norm = np.sqrt((model.decode(codes) ** 2).sum(axis=1)).astype(np.float32)
                 yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm})
 
-    coded = rows.where(F.size("v") == d).mapInPandas(encode, "id long, v array<double>, codes binary, norm float")
+    coded = rows.where(F.size("v") == d).mapInPandas(tidy(encode), "id long, v array<double>, codes binary, norm float")
     return stage(coded, "aq-index"), model
 
 
@@ -232,7 +232,7 @@ def search(table: DataFrame, model: Codebooks | None, queries: DataFrame, k: int
                 r, i, s = shrink()[0]
                 yield pd.DataFrame({"query_id": q_id[r], "n": r, "vec_id": i, "score": s})
 
-        found.append(table.mapInPandas(run, "query_id long, n long, vec_id long, score double").withColumn("batch", F.lit(len(found))))
+        found.append(table.mapInPandas(tidy(run), "query_id long, n long, vec_id long, score double").withColumn("batch", F.lit(len(found))))
     out = found[0] if found else spark.createDataFrame([], "query_id long, n long, vec_id long, score double, batch int")
     for f in found[1:]:
         out = out.unionByName(f)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import load, slices, text_or_empty
+from ._common import load, slices, text_or_empty, tidy
 
 #: Words held in a worker's cache; beyond that it starts anew.
 CACHE_WORDS = 500_000
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             for a, b in slices(texts, TEXT_CHARS):
                 yield pd.DataFrame({"k": pdf["k"].iloc[a:b].values, "ids": codec(path).encode_batch(texts[a:b])})
 
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(tidy(run), f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -271,7 +271,7 @@ def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "text": [codec(path).decode([] if x is None else list(x)) for x in pdf["i"]]})
 
-    return tokens.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    return tokens.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(tidy(run), f"k {kind}, text string").withColumnRenamed("k", key)
 
 
 def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,7 +285,7 @@ def round_trip_digests(docs: DataFrame, path: str, key: str = "doc_id", text: st
                 n, i, d = zip(*codec(path).digests(texts[a:b]))
                 yield pd.DataFrame({"k": pdf["k"].iloc[a:b].values, "n_tokens": n, "ids_sha256": i, "decoded_sha256": d})
 
-    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(tidy(run), f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)
 
 

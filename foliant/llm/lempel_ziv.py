@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import load, release, settle, slices, stage, text_or_empty
+from ._common import load, release, settle, slices, stage, text_or_empty, tidy
 
 #: Words of the runs whose least hash is a window's anchor.
 RUN = 6
 LAST = (1 << 63) - 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-TEXT_CHARS = 4 << 20
+TEXT_CHARS = 2 << 20
 
 
 class WordHashes(dict):
@@ -122,6 +122,7 @@ def _cuts(batches, window: int):
         texts = pdf["t"].tolist()
         for a, b in slices(texts, TEXT_CHARS):
             yield pdf.iloc[a:b], Cut(texts[a:b], window)
+    _hashes.clear()  # workers live on and have other work
 
 
 def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
@@ -140,7 +141,7 @@ def read_texts(rows: DataFrame, window: int) -> DataFrame:
             anchors = [np.unique(x) for x in _split(cut.anchor[change], cut.owner[change], n)]
             yield pd.DataFrame({"k": pdf["k"].values, "n_words": cut.n, "ha": ha, "hb": hb, "sha": sha, "anchors": anchors, "own": _split(cut.place[again], cut.owner[again], n)})
 
-    return rows.mapInPandas(run, "k long, n_words long, ha long, hb long, sha string, anchors array<long>, own array<long>")
+    return rows.mapInPandas(tidy(run), "k long, n_words long, ha long, hb long, sha string, anchors array<long>, own array<long>")
 
 
 def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -159,7 +160,7 @@ def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
                 x = at[a : a + (1 << 18)]
                 yield pd.DataFrame({"w1": cut.key[x].view(np.int64), "w2": cut.key2[x].view(np.int64), "k": k[cut.owner[x]], "start": cut.place[x]})
 
-    return rows.mapInPandas(run, "w1 long, w2 long, k long, start long")
+    return rows.mapInPandas(tidy(run), "w1 long, w2 long, k long, start long")
 
 
 def parse(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text"):
@@ -228,7 +229,7 @@ def duplicate_words(docs: DataFrame, window: int = 20, key: str = "doc_id", text
                 out.append((k, *whole, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["k", "ha", "hb", "n_words", "cut", "cut_sha"])
 
-    changed = rows.join(factors, "k").mapInPandas(run, "k long, ha long, hb long, n_words long, cut long, cut_sha string").dropDuplicates(["k", "ha", "hb", "n_words"])
+    changed = rows.join(factors, "k").mapInPandas(tidy(run), "k long, ha long, hb long, n_words long, cut long, cut_sha string").dropDuplicates(["k", "ha", "hb", "n_words"])
     none = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy_of").isNotNull()
     return texts.join(changed, ["k", "ha", "hb", "n_words"], "left").select(

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import load, settle, slices, stage, text_or_empty
+from ._common import load, settle, slices, stage, text_or_empty, tidy
 from .bpe import PairIndex
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -241,8 +241,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ke
                         rows.append((k, i, at, len(part), zlib.crc32(part), task, int(seen[len(part)])))
                         seen[len(part)] += 1
                 yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        codec(path).clear()  # workers live on and have other work
 
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInPandas(tidy(run), f"k {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,7 +285,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, key:
     before = by_task.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     kind = docs.schema[key].dataType.simpleString()
     settle()
-    out = cut.join(before, ["length", "task"]).mapInPandas(place, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = cut.join(before, ["length", "task"]).mapInPandas(tidy(place), f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("k", key)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import load, settle, slices, stage, text_or_empty
+from ._common import load, settle, slices, stage, text_or_empty, tidy
 from .graph import connected_components
 
 CHUNK = 4096
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, key: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    return rows.select("k", F.xxhash64("t").alias("h"), "t").mapInPandas(run, f"k {kind}, h long, fp array<long>")
+    return rows.select("k", F.xxhash64("t").alias("h"), "t").mapInPandas(tidy(run), f"k {kind}, h long, fp array<long>")
 
 
 def components_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def links(prints: DataFrame, n: int, radius: int = 4, meet: int | None = None, c
         return pd.DataFrame({"a": pd.Series(list(fp[a]), dtype=object), "b": pd.Series(list(fp[b]), dtype=object)})
 
     ready = units.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    return ready.mapInPandas(run, "a array<long>, b array<long>")
+    return ready.mapInPandas(tidy(run), "a array<long>, b array<long>")
 
 
 def components(docs: DataFrame, shingle: int, radius: int, words: int = 1, meet: int | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

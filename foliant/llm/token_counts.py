@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import load, new_path, slices, stage, text_or_empty
+from ._common import load, new_path, slices, stage, text_or_empty, tidy
 
 #: Bytes of a token file that one step of a task reads.
 BLOCK_BYTES = 8 << 20
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str, end_id: int = 50
             out.close()
 
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    return stage(rows.mapInPandas(run, f"k {kind}, file string, nth long"), "token-manifest")
+    return stage(rows.mapInPandas(tidy(run), f"k {kind}, file string, nth long"), "token-manifest")
 
 
 def scan_token_files(files: DataFrame, end_id: int = 50256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -97,10 +97,10 @@ def scan_token_files(files: DataFrame, end_id: int = 50256, block_bytes: int = B
                     ends = np.append(ends, total)
                 yield pd.DataFrame({"file": [f], "block": [int(block)], "ends": [ends]})
 
-    known = files.select("file").distinct().mapInPandas(sizes, "file string, ids long").where("ids > 0")
+    known = files.select("file").distinct().mapInPandas(tidy(sizes), "file string, ids long").where("ids > 0")
     blocks = known.select("file", "ids", F.explode(F.sequence(F.lit(0), F.floor((F.col("ids") - 1) / step).cast("int"))).alias("block"))
     # each block once more by itself, so that one large file is read by many tasks
-    found = stage(blocks.repartition("file", "block").mapInPandas(search, "file string, block int, ends array<long>"), "token-blocks")
+    found = stage(blocks.repartition("file", "block").mapInPandas(tidy(search), "file string, block int, ends array<long>"), "token-blocks")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     state = found.select("file", "block", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     carried = state.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seen"), F.coalesce(F.last("last", True).over(before), F.lit(-1)).alias("previous"))
