@@ -17,8 +17,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Length one; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    by = F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, n).otherwise(1.0)), F.lit(0))
+    return F.get(F.transform(F.array(by), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def without_axis(a: Column, axis: Column) -> Column:

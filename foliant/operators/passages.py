@@ -47,8 +47,9 @@ def length_windows(rows: DataFrame, text: str = "passage", key: str = "key", siz
 def word_hash_embedding(text, dims: int = DIMS):
     """The stand-in embedder as a column: a unit vector of word counts by the first byte of each word's MD5."""
     slots = F.transform(X.words(text), lambda w: (F.conv(F.left(F.md5(w), F.lit(2)), 16, 10).cast("int") % dims))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return V.unit(counts)
+    # one-element arrays hold what is computed once and looked at from inside a lambda
+    counts = F.transform(F.array(slots), lambda ss: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ss, lambda s: s == i)).cast("double")))
+    return F.get(F.transform(counts, V.unit), F.lit(0))
 
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "passage", key: str = "key") -> DataFrame:

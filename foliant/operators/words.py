@@ -51,7 +51,12 @@ def analyzed(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """term, field, key, tf, positions; from analyzed chunks."""
     fields = chunks.schema["terms"].dataType.names
-    each = F.concat(*[F.transform(F.coalesce(f"terms.{f}", F.array().cast("array<string>")), lambda w, i, f=f: F.struct(w.alias("term"), F.lit(f).alias("field"), i.alias("pos"))) for f in fields])
+
+    def placed(field: str) -> Column:
+        terms = F.coalesce(f"terms.{field}", F.array().cast("array<string>"))
+        return F.transform(terms, lambda w, i: F.struct(w.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
+
+    each = F.concat(*map(placed, fields))
     return chunks.select(key, F.explode(each).alias("p")).groupBy("p.term", "p.field", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("p.pos")).alias("positions"))
 
 

@@ -43,9 +43,9 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB's form of the analyzer, and of the library.
-D_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), w -> octet_length(encode(w)) < 48), w -> lower(w))"
+D_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) < 48), lambda w: lower(w))"
 D_LIB = "lib AS (SELECT doc_id, source || '/' || doc_id::VARCHAR || '.txt' AS path, text AS body, source AS title, " + D_WORDS.format("text") + " AS terms FROM documents)"
-D_UNIT = "list_transform({0}, x -> x::DOUBLE / sqrt(list_sum(list_transform({0}, y -> y::DOUBLE * y::DOUBLE))))"
+D_UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({0}, lambda y: y::DOUBLE * y::DOUBLE))))"
 
 
 def _terms_sql(q: str) -> str:
@@ -227,7 +227,7 @@ def preview_neighbors(spark, sf_dir):
 
 _KNN = f"""
 WITH v AS (SELECT vec_id, {D_UNIT.format('embedding')} AS u FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), i -> q.u[i] * v.u[i])), 9) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id {{0}}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.u[i] * v.u[i])), 9) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id {{0}}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT {{1}} round(score, 6) AS score FROM r WHERE rank <= 10"""
 
@@ -248,7 +248,7 @@ def knn_join(spark, sf_dir):
 
 @query(f"""
 WITH v AS (SELECT vec_id, label, {D_UNIT.format('embedding')} AS u FROM embeddings),
-s AS (SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), i -> q.u[i] * v.u[i])), 9) AS score FROM v, (SELECT u FROM v WHERE vec_id = 0) q)
+s AS (SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.u[i] * v.u[i])), 9) AS score FROM v, (SELECT u FROM v WHERE vec_id = 0) q)
 SELECT label::VARCHAR AS path, arg_max(vec_id, (score, -vec_id)) AS line, round(max(score), 6) AS score, row_number() OVER (ORDER BY max(score) DESC, label::VARCHAR)::INT AS rank FROM s GROUP BY label""")
 def best_passage_per_document(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings")
@@ -258,16 +258,16 @@ def best_passage_per_document(spark, sf_dir):
     return knn.best_passages(scores, places).select("path", "line", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT vec_id, round(u[1], 6) AS x1, round(sqrt(list_sum(list_transform(u, x -> x * x))), 6) AS norm FROM (SELECT vec_id, {D_UNIT.format('list_transform(embedding, e -> e * 3.0)')} AS u FROM embeddings)")
+@query(f"SELECT vec_id, round(u[1], 6) AS x1, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM (SELECT vec_id, {D_UNIT.format('list_transform(embedding, lambda e: e * 3.0)')} AS u FROM embeddings)")
 def unit_vectors(spark, sf_dir):
     u = V.unit(F.transform("embedding", lambda e: e * F.lit(3.0)))
     return load(spark, sf_dir, "embeddings").withColumn("u", u).select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("x1"), F.round(V.norm(F.col("u")), 6).alias("norm"))
 
 
 @query("""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), a AS (SELECT list_transform(range(64), i -> 0.125::DOUBLE) AS a),
-p AS (SELECT vec_id, e, list_sum(list_transform(e, x -> x * 0.125)) AS d FROM v), w AS (SELECT vec_id, list_transform(e, x -> x - d * 0.125) AS w FROM p)
-SELECT vec_id, round(w[1] / sqrt(list_sum(list_transform(w, x -> x * x))), 6) AS x1, round(w[64] / sqrt(list_sum(list_transform(w, x -> x * x))), 6) AS x64 FROM w""")
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), a AS (SELECT list_transform(range(64), lambda i: 0.125::DOUBLE) AS a),
+p AS (SELECT vec_id, e, list_sum(list_transform(e, lambda x: x * 0.125)) AS d FROM v), w AS (SELECT vec_id, list_transform(e, lambda x: x - d * 0.125) AS w FROM p)
+SELECT vec_id, round(w[1] / sqrt(list_sum(list_transform(w, lambda x: x * x))), 6) AS x1, round(w[64] / sqrt(list_sum(list_transform(w, lambda x: x * x))), 6) AS x64 FROM w""")
 def language_axis_projection(spark, sf_dir):
     v = axes.neutral(F.col("embedding"), [[0.125] * 64])
     return load(spark, sf_dir, "embeddings").withColumn("v", v).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("x1"), F.round(F.get("v", F.lit(63)), 6).alias("x64"))
@@ -373,7 +373,7 @@ def index_coverage(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN c = 0 AND l = 0 THEN 'other' WHEN c >= l THEN 'cyrillic' ELSE 'latin' END AS script FROM (
-SELECT doc_id, len(list_filter(w, x -> regexp_matches(x, '[\x{0400}-\x{04FF}]'))) AS c, len(list_filter(w, x -> NOT regexp_matches(x, '[\x{0400}-\x{04FF}]') AND regexp_matches(x, '[A-Za-z]'))) AS l FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents))""")
+SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '[\x{0400}-\x{04FF}]'))) AS c, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\x{0400}-\x{04FF}]') AND regexp_matches(x, '[A-Za-z]'))) AS l FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents))""")
 def script_of_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.script_of_text(F.col("text")).alias("script"))
 
@@ -407,13 +407,12 @@ def import_resolution(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey AS path, l_linenumber AS id, l_linenumber * 10 AS start, CASE WHEN l_linenumber = 1 THEN 1000 WHEN l_linenumber % 2 = 0 THEN l_linenumber * 10 + 15 ELSE l_linenumber * 10 + 3 END AS "end" FROM lineitem),
-r AS (SELECT i.path, i.id, o.id AS parent, row_number() OVER (PARTITION BY i.path, i.id ORDER BY o.start DESC NULLS LAST) AS n FROM s i LEFT JOIN s o ON i.path = o.path AND o.id <> i.id AND o.start <= i.start AND o."end" >= i."end")
-SELECT path::VARCHAR AS path, id, parent FROM r WHERE n = 1""")
+WITH s AS (SELECT l_orderkey AS path, l_linenumber AS id, l_linenumber * 10 AS start, CASE WHEN l_linenumber = 1 THEN 1000 WHEN l_linenumber % 2 = 0 THEN l_linenumber * 10 + 15 ELSE l_linenumber * 10 + 3 END AS "end" FROM lineitem)
+SELECT i.path::VARCHAR AS path, i.id, arg_max(o.id, o.start) FILTER (WHERE o.id <> i.id AND o.start <= i.start AND o."end" >= i."end") AS parent FROM s i JOIN s o ON i.path = o.path GROUP BY i.path, i.id""")
 def innermost_parent(spark, sf_dir):
     n = F.col("l_linenumber")
     end = F.when(n == 1, 1000).when(n % 2 == 0, n * 10 + 15).otherwise(n * 10 + 3)
-    s = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), n.alias("id"), (n * 10).alias("start"), end.alias("end"))
+    s = load(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").cast("string").alias("path"), n.alias("id"), (n * 10).alias("start"), end.alias("end"))
     return links.innermost_parent(s).select("path", "id", "parent")
 
 
@@ -447,9 +446,9 @@ def wikilinks(spark, sf_dir):
 
 @query("""
 WITH w AS (SELECT item_id, """ + D_WORDS.format("text") + """ AS w FROM benchmark),
-s AS (SELECT item_id, list_transform(w, x -> ('0x' || left(md5(x), 2))::INT % 64) AS s FROM w),
-c AS (SELECT item_id, list_transform(range(64), i -> len(list_filter(s, x -> x = i))::DOUBLE) AS c FROM s)
-SELECT item_id, round(c[1] / n, 6) AS x1, round(c[33] / n, 6) AS x33, round(c[64] / n, 6) AS x64 FROM (SELECT *, sqrt(list_sum(list_transform(c, x -> x * x))) AS n FROM c)""")
+s AS (SELECT item_id, list_transform(w, lambda x: ('0x' || left(md5(x), 2))::INT % 64) AS s FROM w),
+c AS (SELECT item_id, list_transform(range(64), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS c FROM s)
+SELECT item_id, round(c[1] / n, 6) AS x1, round(c[33] / n, 6) AS x33, round(c[64] / n, 6) AS x64 FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM c)""")
 def word_hash_embedding(spark, sf_dir):
     v = load(spark, sf_dir, "benchmark").select("item_id", passages.word_hash_embedding(F.col("text")).alias("v"))
     return v.select("item_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"x{i + 1}") for i in (0, 32, 63)])
@@ -488,7 +487,7 @@ def history_filters(spark, sf_dir):
     return matching(e, "CLICK").where(F.exists("paths", lambda p: p.startswith("src/1"))).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN v >= 1048576 THEN printf('%.0f MB', v / 1048576.0) WHEN v >= 1024 THEN printf('%.0f KB', v / 1024.0) ELSE v || ' B' END AS size FROM (SELECT event_id, (event_id * 37)::BIGINT AS v FROM events)")
+@query("SELECT event_id, CASE WHEN v >= 1048576 THEN floor(v / 1048576.0 + 0.5)::BIGINT || ' MB' WHEN v >= 1024 THEN floor(v / 1024.0 + 0.5)::BIGINT || ' KB' ELSE v || ' B' END AS size FROM (SELECT event_id, (event_id * 37)::BIGINT AS v FROM events)")
 def human_sizes(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", X.human_size(F.col("event_id") * 37).alias("size"))
 

@@ -38,7 +38,7 @@ def capped_bursts(events: DataFrame, gap_ms: int = QUIET_MS, longest_ms: int = L
     A quiet time cuts first; inside such a run the cap is a fold from left to right.
     """
     order = W.partitionBy(by).orderBy("ts")
-    ms = F.unix_micros("ts") / 1000.0
+    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
     timed = events.withColumn("ms", ms)
     timed = timed.withColumn("new", F.coalesce((F.col("ms") - F.lag("ms").over(order) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     runs = timed.groupBy(by, "run").agg(F.array_sort(F.collect_list("ms")).alias("all"))
