@@ -258,7 +258,7 @@ def best_passage_per_document(spark, sf_dir):
     return knn.best_passages(scores, places).select("path", "line", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT vec_id, round(u[1], 6) AS x1, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM (SELECT vec_id, {D_UNIT.format('list_transform(embedding, lambda e: e * 3.0)')} AS u FROM embeddings)")
+@query(f"SELECT vec_id, round(u[1], 6) AS x1, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM (SELECT vec_id, {D_UNIT.format('list_transform(embedding, lambda e: e::DOUBLE * 3.0)')} AS u FROM embeddings)")
 def unit_vectors(spark, sf_dir):
     u = V.unit(F.transform("embedding", lambda e: e * F.lit(3.0)))
     return load(spark, sf_dir, "embeddings").withColumn("u", u).select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("x1"), F.round(V.norm(F.col("u")), 6).alias("norm"))

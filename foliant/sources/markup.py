@@ -131,7 +131,7 @@ class PageReader(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        if self.skip is None:
+        elif self.skip is None:
             self.buffer += data if self.pre else re.sub(r"\s+", " ", data)
 
 
