@@ -92,7 +92,7 @@ def parse(query: str, stemmed: bool = True) -> tuple[list[Clause], bool]:
 def _in(words: Column, clause: Clause) -> Column:
     """How often a clause stands in a list of words."""
     if len(clause.terms) == 1:
-        return F.size(F.filter(words, lambda w: w == clause.terms[0]))
+        return F.coalesce(F.size(words) - F.size(F.array_remove(words, clause.terms[0])), F.lit(0))
     joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     return F.regexp_count(joined, F.lit(f"(?<= ){' '.join(clause.terms)}(?= )"))
 
@@ -128,8 +128,13 @@ def holds(clause: Clause, fields) -> Column:
     return reduce(lambda a, b: a | b, [_in(F.col(f"terms.{f}"), clause) > 0 for f in _fields(clause, fields)], F.lit(False))
 
 
-def bm25(clauses: list[Clause], figures: Corpus) -> Column:
-    """Sum over clauses and fields, boosted; figures are constants in the expression."""
+def bm25(clauses: list[Clause], figures: Corpus, tf=None, length=None) -> Column:
+    """Sum over clauses and fields, boosted; figures are constants in the expression.
+
+    tf(field, i) and length(field) give columns where the counts have been made before.
+    """
+    tf = tf or (lambda f, i: _in(F.col(f"terms.{f}"), clauses[i]))
+    length = length or (lambda f: F.size(f"terms.{f}"))
     parts = [F.lit(0.0)]
     for i, c in enumerate(clauses):
         if c.sign == "-":
@@ -137,9 +142,9 @@ def bm25(clauses: list[Clause], figures: Corpus) -> Column:
         for f in _fields(c, figures.average):
             df = figures.df[f, i]
             if df:
-                tf = _in(F.col(f"terms.{f}"), c).cast("double")
-                long = K1 * (1 - B + B * F.size(f"terms.{f}") / (figures.average[f] or 1.0))
-                parts.append(F.lit(BOOSTS[f] * idf(figures.rows, df)) * tf * (K1 + 1) / (tf + long))
+                n = tf(f, i).cast("double")
+                long = K1 * (1 - B + B * length(f) / (figures.average[f] or 1.0))
+                parts.append(F.lit(BOOSTS[f] * idf(figures.rows, df)) * n * (K1 + 1) / (n + long))
     return reduce(lambda a, b: a + b, parts)
 
 
@@ -150,51 +155,89 @@ def common(word: str, body_df: dict[str, int], rows: int, stemmed: bool = True)
     return bare.isalnum() and bool(terms) and all(2 * body_df.get(t, 0) > rows for t in terms)
 
 
+def _distinctive(query: str, df: dict[str, int], rows: int, stemmed: bool) -> str:
+    return " ".join(w for w in query.split() if not common(w, df, rows, stemmed)) or query
+
+
+def _query_terms(query: str, stemmed: bool) -> list[str]:
+    return sorted({t for w in query.split() for t in terms_of(w, stemmed)})
+
+
 def distinctive(query: str, chunks: DataFrame, stemmed: bool = True) -> str:
     """The query without common words; the whole query if nothing would remain."""
-    asked = query.split()
-    terms = sorted({t for w in asked for t in terms_of(w, stemmed)})
+    terms = _query_terms(query, stemmed)
     if not terms:
         return query
     figures = corpus(chunks.select(F.struct(F.col("terms.body").alias("body")).alias("terms")), [Clause((t,)) for t in terms])
-    df = {t: figures.df["body", i] for i, t in enumerate(terms)}
-    kept = [w for w in asked if not common(w, df, figures.rows, stemmed)]
-    return " ".join(kept) or query
+    return _distinctive(query, {t: figures.df["body", i] for i, t in enumerate(terms)}, figures.rows, stemmed)
+
+
+class _Counted:
+    """Chunks reduced to lengths and clause counts: texts are analyzed once, all else looks at these few numbers."""
+
+    def __init__(self, chunks: DataFrame, clauses: list[Clause], order: str):
+        self.fields = chunks.schema["terms"].dataType.names
+        self.at = {(c.terms, c.field): i for i, c in enumerate(clauses)}
+        links = F.col("backlink_count") if "backlink_count" in chunks.columns else F.lit(0)
+        tf = [_in(F.col(f"terms.{f}"), c).alias(f"tf_{f}_{i}") for i, c in enumerate(clauses) for f in _fields(c, self.fields)]
+        self.rows = chunks.select("path", order, links.alias("links"), *[F.size(f"terms.{f}").alias(f"len_{f}") for f in self.fields], *tf).persist()
+
+    def covers(self, clauses: list[Clause]) -> bool:
+        return all((c.terms, c.field) in self.at for c in clauses)
+
+    def tf(self, c: Clause, field: str) -> Column:
+        return F.col(f"tf_{field}_{self.at[c.terms, c.field]}")
+
+    def holds(self, c: Clause) -> Column:
+        return reduce(lambda a, b: a | b, [self.tf(c, f) > 0 for f in _fields(c, self.fields)], F.lit(False))
+
+    def matched(self, clauses: list[Clause], every: bool) -> Column:
+        asked = [c for c in clauses if c.sign != "-"]
+        out = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [self.holds(c) for c in asked], F.lit(every))
+        for c in clauses:
+            out = out & self.holds(c) if c.sign == "+" else out & ~self.holds(c) if c.sign == "-" else out
+        return out
 
 
 def search(chunks: DataFrame, query: str, limit: int = 10, stemmed: bool = True, order: str = "line") -> tuple[DataFrame, bool]:
     """Best chunk of each document for the query, with rank, score and share; and whether all words were found together.
 
     chunks: analyzed, with path, line and optionally backlink_count. All words first, over all fields of
-    a chunk; only if no chunk has them, any of the distinctive words.
+    a chunk; only if no chunk has them, any of the distinctive words. One pass reads texts and leaves
+    counts; one aggregate of these gives all figures; the few best rows are then joined to their chunks.
     """
-    fields = chunks.schema["terms"].dataType.names
     clauses, either = parse(query, stemmed)
-    empty = chunks.limit(0).withColumns({"score": F.lit(0.0), "share": F.lit(0.0), "rank": F.lit(0)})
+    shown = [c for c in chunks.columns if c != "terms"]
     if not query.strip() or limit <= 0 or not clauses:
-        return empty, False
-
-    def matched(clauses: list[Clause], every: bool) -> Column:
-        asked = [c for c in clauses if c.sign != "-"]
-        out = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [holds(c, fields) for c in asked], F.lit(every))
-        for c in clauses:
-            out = out & holds(c, fields) if c.sign == "+" else out & ~holds(c, fields) if c.sign == "-" else out
-        return out
-
-    every = matched(clauses, not either)
-    all_words = bool(chunks.where(every).limit(1).count())
-    if not all_words:
-        clauses, _ = parse(distinctive(query, chunks, stemmed), stemmed)
-        every = matched(clauses, False)
-    figures = corpus(chunks, clauses)
+        return chunks.select(*shown).limit(0).withColumns({"score": F.lit(0.0), "share": F.lit(0.0), "rank": F.lit(0)}), False
+    words_alone = [Clause((t,)) for t in sorted({*_query_terms(query, stemmed), *(t for c in clauses for t in c.terms)})]
+    known = list({(c.terms, c.field): c for c in [*clauses, *words_alone]}.values())
+    counted = _Counted(chunks, known, order)
+    fields = counted.fields
+    aggs = [F.count("*").alias("n"), F.coalesce(F.max(counted.matched(clauses, not either)), F.lit(False)).alias("together")]
+    aggs += [F.avg(f"len_{f}").alias(f"len_{f}") for f in fields]
+    aggs += [F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for i, c in enumerate(known) for f in _fields(c, fields)]
+    row = counted.rows.agg(*aggs).first()
+    all_words = row["together"]
+    if all_words:
+        every = counted.matched(clauses, not either)
+    else:
+        body = {c.terms[0]: row[f"df_body_{i}"] for i, c in enumerate(known) if c.field is None and len(c.terms) == 1} if "body" in fields else {}
+        rest, _ = parse(_distinctive(query, body, row["n"], stemmed), stemmed)
+        if counted.covers(rest):  # dropping a word from inside a phrase would make a new one
+            clauses = rest
+        every = counted.matched(clauses, False)
+    at = [counted.at[c.terms, c.field] for c in clauses]
+    figures = Corpus(row["n"], {f: row[f"len_{f}"] or 0.0 for f in fields}, {(f, k): row[f"df_{f}_{i}"] for k, i in enumerate(at) for f in _fields(clauses[k], fields)})
+    score = bm25(clauses, figures, lambda f, k: counted.tf(clauses[k], f), lambda f: F.col(f"len_{f}"))
     terms = sorted({t for c in clauses for t in c.terms})
-    held = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"terms.{f}", F.array().cast("array<string>")) for f in fields])))
-    share = F.lit(1.0) if all_words or not terms else F.size(F.array_intersect(held, F.array(*map(F.lit, terms)))) / len(terms)
-    links = F.col("backlink_count") if "backlink_count" in chunks.columns else F.lit(0)
-    scored = chunks.where(every).withColumn("score", X.backlink_boost(bm25(clauses, figures), links)).withColumn("share", share)
+    held = reduce(lambda a, b: a + b, [counted.holds(Clause((t,))).cast("int") for t in terms], F.lit(0))
+    share = F.lit(1.0) if all_words or not terms else held / len(terms)
+    scored = counted.rows.where(every).select("path", order, X.backlink_boost(score, F.col("links")).alias("score"), share.alias("share"))
     best = scored.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), order))).where("nth = 1").drop("nth")
     top = best.orderBy(F.desc("score"), "path").limit(limit)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path"))), all_words
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
+    return chunks.select(*shown).join(F.broadcast(ranked), ["path", order]), all_words  # `limit` rows
 
 
 def bm25_many(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
