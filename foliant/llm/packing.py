@@ -230,7 +230,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ke
         seen = np.zeros(capacity + 1, np.int64)
         for pdf in batches:
             texts = pdf["t"].tolist()
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 flat, counts = codec(path).encode_batch(texts[a:b])
                 keys, ends = pdf["k"].iloc[a:b].tolist(), np.cumsum(counts)
                 rows = []
