@@ -191,19 +191,15 @@ def parse(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "t
 
 def factor_spans(windows: str, window: int):
     """Greedy factors: windows in a row that go on in one reference document, as (start, end, ref)."""
+    ws = F.col(windows)
 
-    @F.pandas_udf("array<struct<start:long,end:long,ref:long>>")
-    def spans(col: pd.Series) -> pd.Series:
-        out = []
-        for ws in col:
-            s = np.array([w["start"] for w in ws], np.int64)
-            ref = np.array([w["ref"] for w in ws], np.int64)
-            cut = np.flatnonzero(np.r_[True, (np.diff(s) != 1) | (ref[1:] != ref[:-1])])
-            ends = s[np.r_[cut[1:] - 1, len(s) - 1].astype(np.int64)] + window
-            out.append([{"start": int(a), "end": int(e), "ref": int(r)} for a, e, r in zip(s[cut], ends, ref[cut])])
-        return pd.Series(out)
-
-    return spans(F.col(windows))
+    def breaks(a, b):
+        """Whether window b doesn't go on from a; there may be no such window."""
+        return F.coalesce((b["start"] - a["start"] != 1) | (a["ref"] != b["ref"]), F.lit(True))
+
+    first = F.filter(ws, lambda w, i: breaks(F.get(ws, i - 1), w))
+    last = F.filter(ws, lambda w, i: breaks(w, F.get(ws, i + 1)))
+    return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), (b["start"] + window).alias("end"), a["ref"].alias("ref")))
 
 
 def _covered(spans, n: int) -> np.ndarray:
