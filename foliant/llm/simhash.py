@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import load, settle, slices, stage, text_or_empty, tidy
 from .graph import connected_components
+from .shingles import one_of_each  # noqa: F401  (the pipeline's stage, by exact sets)
 
 CHUNK = 4096
 #: Word-pairs compared at once in one task.
@@ -252,21 +253,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, key: str
     return prints.join(ids, "fp").select(F.col("k").alias(key), F.get("fp", F.lit(0)).alias("fp"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 20, words: int = 2, meet: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input rows without near duplicates: of each component the row of the smallest key stays, once.
-
-    128 bits: texts whose shingle sets are at least 0.8 alike (Jaccard) differ in 15 % of the bits at
-    most on average, and the second word keeps chance links of unrelated texts out however many rows
-    there are. Rows without a key stay only where no row of their component has one.
-    """
-    prints, names = components(docs, shingle, radius, words, meet, key, text)
-    keep = prints.join(names, "fp").groupBy("component").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("best")).select(F.col("best.k").alias("__k"), F.col("best.h").alias("__h"))
-    keep = stage(keep, "simhash-kept")
-    same = F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text_or_empty(text)) == F.col("__h"))
-    # rows that are equal in key and text are one
-    return docs.join(keep, same).dropDuplicates(["__k", "__h"]).select(*docs.columns)
-
-
 def op7_simhash_components(spark, sf_dir):
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -64,6 +64,35 @@ def test_one_of_each_keeps_one_row_of_a_group(docs, rows):
     assert sum((r["text"] or "").strip() == "" for r in kept) == 1
 
 
+def test_one_of_each_links_exactly_what_is_four_fifths_alike(spark, monkeypatch):
+    """Against all pairs by brute force, with small and with large buckets; some pairs sit just at 0.8 and just below."""
+    from foliant.llm import shingles
+
+    rng = random.Random(8)
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(rng.randint(30, 80))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"new{rng.random()}"
+            texts.append(" ".join(w + line.split()) if rng.random() < 0.5 else " ".join(w))
+    texts += [" ".join(f"e{i}" for i in range(14)), " ".join(f"e{i}" for i in range(12)), " ".join(f"e{i}" for i in range(11))]  # 8 of 10, 7 of 8
+    texts += [" ".join(f"f{i}" for i in range(14)), " ".join(f"f{i}" for i in range(11))]  # 7 of 10
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for small, chunk in ((32, 1 << 18), (2, 100)):
+        monkeypatch.setattr(shingles, "SMALL", small)
+        monkeypatch.setattr(shingles, "CHUNK_SHINGLES", chunk)
+        assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(label))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
