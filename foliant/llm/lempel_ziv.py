@@ -10,9 +10,10 @@ straddle two factors have been looked up like all others, so no duplicate is los
 Whole copies are settled by one hash of the text and need no windows.
 
 Defined results: words are runs of other than ASCII white space, null texts have none; texts shorter
-than a window stay; a null doc_id counts as greater than all others; repeated rows of one doc_id are
-one document (none of them starts earlier than the other); an empty table gives an empty result;
-other columns are ignored by `duplicate_words` and kept by `without_duplicates`.
+than a window stay; a null doc_id counts as greater than all others; different texts under one
+doc_id, or under none, are documents of their own, in the order of their hashes; rows equal in doc_id
+and text are one document (none of them starts earlier than the other); an empty table gives an empty
+result; other columns are ignored by `duplicate_words` and kept by `without_duplicates`.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def read_texts(rows: DataFrame, window: int) -> DataFrame:
-    """k, n_words, ha, hb (of the whole text), sha, anchors (once each), own (starts of windows met earlier in the text)."""
+    """k, x, n_words, ha, hb (of the whole text), sha, anchors (once each), own (starts of windows met earlier in the text)."""
 
     def run(batches):
         for pdf, cut in _cuts(batches, window):
@@ -139,13 +140,13 @@ def read_texts(rows: DataFrame, window: int) -> DataFrame:
             again = cut.repeats()
             ha, hb, sha = zip(*(cut.text_hashes(i) for i in range(n)))
             anchors = [np.unique(x) for x in _split(cut.anchor[change], cut.owner[change], n)]
-            yield pd.DataFrame({"k": pdf["k"].values, "n_words": cut.n, "ha": ha, "hb": hb, "sha": sha, "anchors": anchors, "own": _split(cut.place[again], cut.owner[again], n)})
+            yield pd.DataFrame({"k": pdf["k"].values, "x": pdf["x"].values, "n_words": cut.n, "ha": ha, "hb": hb, "sha": sha, "anchors": anchors, "own": _split(cut.place[again], cut.owner[again], n)})
 
-    return rows.mapInPandas(tidy(run), "k long, n_words long, ha long, hb long, sha string, anchors array<long>, own array<long>")
+    return rows.mapInPandas(tidy(run), "k long, x long, n_words long, ha long, hb long, sha string, anchors array<long>, own array<long>")
 
 
 def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows(k, t, anchors) -> w1, w2, k, start: windows on the given anchors, each once for its text."""
+    """rows(r, t, anchors) -> w1, w2, r, start: windows on the given anchors, each once for its text."""
 
     def run(batches):
         for pdf, cut in _cuts(batches, window):
@@ -154,37 +155,47 @@ def candidate_windows(rows: DataFrame, window: int) -> DataFrame:
             for i, wanted in enumerate(pdf["anchors"]):
                 a, b = edges[i], edges[i + 1]
                 keep[a:b] &= np.isin(cut.anchor[a:b], np.asarray(wanted, np.int64))
-            k = pdf["k"].to_numpy(np.int64)
+            r = pdf["r"].to_numpy(np.int64)
             at = np.flatnonzero(keep)
             for a in range(0, len(at), 1 << 18):
                 x = at[a : a + (1 << 18)]
-                yield pd.DataFrame({"w1": cut.key[x].view(np.int64), "w2": cut.key2[x].view(np.int64), "k": k[cut.owner[x]], "start": cut.place[x]})
+                yield pd.DataFrame({"w1": cut.key[x].view(np.int64), "w2": cut.key2[x].view(np.int64), "r": r[cut.owner[x]], "start": cut.place[x]})
 
-    return rows.mapInPandas(tidy(run), "w1 long, w2 long, k long, start long")
+    return rows.mapInPandas(tidy(run), "w1 long, w2 long, r long, start long")
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> list:
+    """The columns k and x that tell documents apart: the key (null last) and the text's hash."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text_or_empty(text)).alias("x")]
 
 
 def parse(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text"):
-    """(texts, factors): texts as read_texts plus `copy_of` (the least key of an equal text, if smaller and long enough);
-    factors(k, spans): word spans [start, end) of each text that isn't such a copy, with the reference document."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), text_or_empty(text).alias("t"))
+    """(rows, texts, factors): rows(k, x, t); texts as read_texts plus `r` (the document's number, in the order of k and x) and
+    `copy_of` (the least number of an equal text, if smaller and long enough); factors(k, x, spans): word spans [start, end)
+    of each text that isn't such a copy, with the number of the reference document."""
+    rows = docs.select(*keyed(docs, key, text), text_or_empty(text).alias("t"))
     read = stage(read_texts(rows, window), "rlz-texts")
     same = ["ha", "hb", "n_words"]
-    least = stage(read.where(F.col("n_words") >= window).groupBy(same).agg(F.min("k").alias("lo"), F.count("*").alias("c")).where("c > 1").drop("c"), "rlz-copies")
-    texts = stage(read.join(least, same, "left").withColumn("copy_of", F.when(F.col("lo") < F.col("k"), F.col("lo"))).drop("lo"), "rlz-texts")
-    release(read, least)
-    anchors = texts.where("copy_of is null and size(anchors) > 0").select("k", F.explode("anchors").alias("h"))
+    # partitions of a sorted table are numbered in its order, so these numbers rise with k and x
+    numbers = stage(read.select("k", "x", *same).distinct().orderBy("k", "x").withColumn("r", F.monotonically_increasing_id()), "rlz-numbers")
+    least = numbers.where(F.col("n_words") >= window).groupBy(same).agg(F.min("r").alias("lo"), F.count("*").alias("c")).where("c > 1").drop("c")
+    copies = stage(numbers.join(least, same, "left").select("k", "x", "r", F.when(F.col("lo") < F.col("r"), F.col("lo")).alias("copy_of")), "rlz-copies")
+    texts = stage(read.join(copies, ["k", "x"]), "rlz-texts")
+    release(read, numbers, copies)
+    anchors = texts.where("copy_of is null and size(anchors) > 0").select("k", "x", "r", F.explode("anchors").alias("h"))
     shared = stage(anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "rlz-shared")
     settle()
-    wanted = stage(anchors.join(shared, "h").groupBy("k").agg(F.collect_set("h").alias("anchors")), "rlz-wanted")
+    wanted = stage(anchors.join(shared, "h").groupBy("k", "x", "r").agg(F.collect_set("h").alias("anchors")), "rlz-wanted")
     release(shared)
-    found = stage(candidate_windows(rows.join(wanted, "k"), window), "rlz-windows")
+    found = stage(candidate_windows(rows.join(wanted, ["k", "x"]), window), "rlz-windows")
     release(wanted)
-    first = stage(found.groupBy("w1", "w2").agg(F.min("k").alias("ref"), F.max("k").alias("hi")).where("hi > ref").drop("hi"), "rlz-first")
+    first = stage(found.groupBy("w1", "w2").agg(F.min("r").alias("ref"), F.max("r").alias("hi")).where("hi > ref").drop("hi"), "rlz-first")
     settle()
-    earlier = found.join(first, ["w1", "w2"]).where("k > ref").select("k", "start", "ref")
-    own = texts.where("copy_of is null and size(own) > 0").select("k", F.explode("own").alias("start"), F.col("k").alias("ref"))
-    windows = earlier.unionByName(own).groupBy("k").agg(F.array_sort(F.collect_set(F.struct("start", "ref"))).alias("windows"))
-    factors = stage(windows.select("k", factor_spans("windows", window).alias("spans")), "rlz-factors")
+    earlier = found.join(first, ["w1", "w2"]).where("r > ref").select("r", "start", "ref")
+    own = texts.where("copy_of is null and size(own) > 0").select("r", F.explode("own").alias("start"), F.col("r").alias("ref"))
+    windows = earlier.unionByName(own).groupBy("r").agg(F.array_sort(F.collect_set(F.struct("start", "ref"))).alias("windows"))
+    spans = windows.select("r", factor_spans("windows", window).alias("spans"))
+    factors = stage(spans.join(texts.select("k", "x", "r").distinct(), "r").select("k", "x", "spans"), "rlz-factors")
     release(found, first)
     return rows, texts, factors
 
@@ -217,18 +228,17 @@ def duplicate_words(docs: DataFrame, window: int = 20, key: str = "doc_id", text
     def run(batches):
         for pdf in batches:
             out = []
-            for k, t, spans in zip(pdf["k"], pdf["t"], pdf["spans"]):
+            for k, x, t, spans in zip(pdf["k"], pdf["x"], pdf["t"], pdf["spans"]):
                 words = t.encode("utf-8", "surrogatepass").split()
-                whole = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64).tolist()
-                gone = _covered([s for s in spans if s["end"] <= len(words)], len(words))
+                gone = _covered(spans, len(words))
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append((k, *whole, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["k", "ha", "hb", "n_words", "cut", "cut_sha"])
+                out.append((k, x, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield pd.DataFrame(out, columns=["k", "x", "cut", "cut_sha"])
 
-    changed = rows.join(factors, "k").mapInPandas(tidy(run), "k long, ha long, hb long, n_words long, cut long, cut_sha string").dropDuplicates(["k", "ha", "hb", "n_words"])
+    changed = rows.join(factors, ["k", "x"]).mapInPandas(tidy(run), "k long, x long, cut long, cut_sha string").dropDuplicates(["k", "x"])
     none = hashlib.sha256(b"").hexdigest()
     copy = F.col("copy_of").isNotNull()
-    return texts.join(changed, ["k", "ha", "hb", "n_words"], "left").select(
+    return texts.join(changed, ["k", "x"], "left").select(
         F.when(F.col("k") != LAST, F.col("k")).alias(key),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"),
@@ -256,15 +266,16 @@ def cut_words(text: str, spans) -> str:
 def without_duplicates(docs: DataFrame, window: int = 20, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """The input rows with duplicate passages cut out of their texts; rows that lose all their words go. `length` follows if there is such a column."""
     _, texts, factors = parse(docs, window, key, text)
-    whole = texts.where("copy_of is not null").select("k", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("ref"))).alias("spans"))
-    changes = stage(factors.unionByName(whole).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("__spans")).withColumnRenamed("k", "__k"), "rlz-changes")
+    whole = texts.where("copy_of is not null").select("k", "x", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("copy_of").alias("ref"))).alias("spans"))
+    changes = stage(factors.unionByName(whole.dropDuplicates(["k", "x"])).withColumnsRenamed({"k": "__k", "x": "__x", "spans": "__spans"}), "rlz-changes")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut_words(t, s) for t, s in zip(texts, spans)])
 
     kept = docs.columns
-    rows = docs.join(changes, F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("__k"), "left")
+    k, x = keyed(docs, key, text)
+    rows = docs.join(changes, (k == F.col("__k")) & (x == F.col("__x")), "left")
     some = F.col("__spans").isNotNull()
     rows = rows.withColumn(text, F.when(some, cut(text_or_empty(text), "__spans")).otherwise(F.col(text)))
     if length in kept:

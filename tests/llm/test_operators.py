@@ -119,6 +119,35 @@ def test_lempel_ziv_on_texts_of_few_words(spark):
     same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], [(r[0], *x) for r, x in zip(rows, brute.repeated(rows))])
 
 
+def test_lempel_ziv_keeps_texts_without_or_with_one_id_apart(spark):
+    """Each text loses its own repeated passage and nothing else, whatever other texts stand under its id."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    seen = [fresh(25) for _ in range(4)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(seen)]
+    expected = [(i, 25, 0) for i in range(4)]
+    for key in (None, 50):
+        for at, p in ((0, seen[0]), (30, seen[1]), (60, seen[2])):
+            w = fresh(100)
+            w[at:at] = p
+            rows.append((key, " ".join(w)))
+            expected.append((key, 125, 25))
+        rows.append((key, " ".join(fresh(70))))
+        expected.append((key, 70, 0))
+    alone = fresh(40)  # in two texts without an id: one of them keeps it
+    rows += [(None, " ".join(fresh(40) + alone)), (None, " ".join(alone + fresh(41)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in lempel_ziv.duplicate_words(df).collect()]
+    same([x for x in got if x[1] not in (80, 81)], expected)
+    assert sorted(x[2] for x in got if x[1] in (80, 81)) == [0, 40]
+    left = lempel_ziv.without_duplicates(df).collect()
+    gone = {w for p in seen for w in p}
+    for r in left:
+        if r["doc_id"] not in range(4):
+            assert not gone & set(r["text"].split())
+    assert sum(len(r["text"].split()) for r in left) == sum(x[1] - x[2] for x in got)
+
+
 def test_secrets(docs, rows, none):
     got = secrets.scan(docs).collect()
     listed = lambda t: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute.secrets(t))
