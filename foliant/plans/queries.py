@@ -69,6 +69,13 @@ def postings(spark, sf_dir):
     return got.where(F.length("term") > 8).select("term", "path", "tf", F.get("positions", F.lit(0)).cast("long").alias("first_pos"))
 
 
+@query()
+def postings_whole(spark, sf_dir):
+    """The inverted index: every term of every document with all its positions. `postings` shows the part that its SQL can check cheaply."""
+    got = words.postings(words.analyzed(library(spark, sf_dir).select("path", "body"), False), "path")
+    return got.select("term", "path", "tf", F.transform("positions", lambda p: p.cast("long")).alias("positions"))
+
+
 _BM25 = """
 WITH {lib}, p AS (SELECT path, unnest(terms) AS term FROM lib), tf AS (SELECT path, term, count(*) AS tf FROM p GROUP BY ALL),
 len AS (SELECT path, len(terms) AS len FROM lib), fig AS (SELECT count(*) AS n, avg(len) AS avg FROM len),
