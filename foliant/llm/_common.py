@@ -102,3 +102,11 @@ def slices(texts, limit: int = BATCH_BYTES):
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column's name begins with, in any case."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return mark
