@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a Python worker holds at once; Arrow batches are cut to this.
@@ -43,11 +43,12 @@ def tidy(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; where that is unset a local one, which a cluster doesn't have."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -87,6 +88,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def drawn(rows: DataFrame, order: Column, most: int) -> DataFrame:
+    """The `most` rows of least `order`, a hash of 64 bits. Rows that can hardly be among them stay in their tasks: what leaves these is little more than `most` rows however many tasks there are."""
+    n = rows.count()
+    if n > most:
+        share = min(1.0, (most + 8 * most**0.5 + 64) / n)
+        rows = rows.where(order <= int(share * (1 << 64)) - (1 << 63) - 1)
+    return rows.orderBy(order).limit(most)
+
+
 def slices(texts, limit: int = BATCH_BYTES):
     """Ranges [a, b) of a list of texts that hold at most `limit` characters each, or one longer text."""
     a = total = 0

@@ -7,11 +7,13 @@ the approximation's norm and the original. A query meets the codes through a tab
 with all words; the best by approximate score are scored exactly on the original vectors.
 
 Every row is indexed. Queries go through in blocks of at most `QUERY_BLOCK`, the only thing that is
-ever broadcast. Copies of one vector are interchangeable up to their ids, so a table slice keeps one
-code for each distinct vector, and of its ids the smallest that any query could return: nothing else
-is dropped, and ties go to smaller ids however many copies there are.
+ever broadcast; the results of a block are written before the next one starts, so the plan doesn't
+grow with their number. Copies of one vector are interchangeable up to their ids, so a table slice
+keeps one code for each distinct vector (told by a hash made when it is indexed), and of its ids the
+smallest that any query could return: nothing else is dropped, and ties go to smaller ids however
+many copies there are.
 
-Defined results: vectors that are null, zero, of another dimension than the first or that hold null
+Defined results: vectors that are null, zero, of another dimension than most or that hold null
 or non-finite components take no part; a query's own rows (equal id) are no candidates; with fewer
 candidates than k all are returned; an empty table gives an empty result; other columns are ignored.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import load, stage, tidy
+from ._common import drawn, load, new_path, stage, tidy
 
 #: Vectors that the codebooks are fitted on at most, those of least hash.
 SAMPLE = 12_288
@@ -109,13 +111,14 @@ def usable(vec: str):
 
 
 def index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", books: int = 16, beam: int = 8, sample: int = SAMPLE) -> tuple[DataFrame, Codebooks | None]:
-    """(staged rows (id, v array<double>, codes binary, norm float), codebooks)."""
+    """(staged rows (id, v array<double>, h (hash of v), codes binary, norm float), codebooks)."""
     rows = vectors.where(usable(vec)).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    drawn = [r["v"] for r in rows.select("v", F.xxhash64("v", "id").alias("o")).orderBy("o").limit(sample).collect()]
-    if not drawn:
-        return stage(rows.selectExpr("id", "v", "cast(null as binary) codes", "cast(null as float) norm"), "aq-index"), None
-    d = len(drawn[0])
-    model = Codebooks.fit(np.array([v for v in drawn if len(v) == d]), m=books)
+    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if sizes is None:
+        return stage(rows.selectExpr("id", "v", "0L h", "cast(null as binary) codes", "cast(null as float) norm"), "aq-index"), None
+    d = sizes["d"]
+    rows = rows.where(F.size("v") == d)
+    model = Codebooks.fit(np.array([r["v"] for r in drawn(rows, F.xxhash64("v", "id"), sample).select("v").collect()]), m=books)
 
     def encode(batches):
         for pdf in batches:
@@ -123,9 +126,9 @@ def index(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", books
                 x = np.stack(pdf["v"].to_numpy())
                 codes = model.encode(x, beam)
                 norm = np.sqrt((model.decode(codes) ** 2).sum(axis=1)).astype(np.float32)
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm})
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "h": pdf["h"], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm})
 
-    coded = rows.where(F.size("v") == d).mapInPandas(tidy(encode), "id long, v array<double>, codes binary, norm float")
+    coded = rows.withColumn("h", F.xxhash64("v")).mapInPandas(tidy(encode), "id long, v array<double>, h long, codes binary, norm float")
     return stage(coded, "aq-index"), model
 
 
@@ -134,7 +137,7 @@ def _search_slice(pdf: pd.DataFrame, q: np.ndarray, q_id: np.ndarray, model: Cod
     x = np.stack(pdf["v"].to_numpy())
     ids = pdf["id"].to_numpy(np.int64)
     # one code for each distinct vector; of its ids the k + 1 smallest (one may be the query's own)
-    by = np.lexsort((ids, *x.T[::-1]))
+    by = np.lexsort((ids, pdf["h"].to_numpy(np.int64)))
     x, ids = x[by], ids[by]
     head = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
     first = np.flatnonzero(head)
@@ -189,8 +192,10 @@ def search(table: DataFrame, model: Codebooks | None, queries: DataFrame, k: int
         if not batches or sum(x[2] for x in batches[-1]) + n > QUERY_BLOCK:
             batches.append([])
         batches[-1].append((part, block, n))
-    found = []
-    for batch in batches:
+    folder = new_path(spark, "aq-found")
+    partial = "query_id long, n long, vec_id long, score double"
+    spark.createDataFrame([], partial).write.parquet(f"{folder}/batch=-1")
+    for number, batch in enumerate(batches):
         where = " OR ".join(f"(part = {p} AND block = {b})" for p, b, _ in batch)
         rows = held.where(where).orderBy("id").collect()  # at most QUERY_BLOCK
         shared = spark.sparkContext.broadcast((np.array([r["v"] for r in rows]), np.array([r["id"] for r in rows], np.int64)))
@@ -232,10 +237,10 @@ def search(table: DataFrame, model: Codebooks | None, queries: DataFrame, k: int
                 r, i, s = shrink()[0]
                 yield pd.DataFrame({"query_id": q_id[r], "n": r, "vec_id": i, "score": s})
 
-        found.append(table.mapInPandas(tidy(run), "query_id long, n long, vec_id long, score double").withColumn("batch", F.lit(len(found))))
-    out = found[0] if found else spark.createDataFrame([], "query_id long, n long, vec_id long, score double, batch int")
-    for f in found[1:]:
-        out = out.unionByName(f)
+        table.mapInPandas(tidy(run), partial).write.parquet(f"{folder}/batch={number}")
+        shared.destroy()
+
+    out = spark.read.schema(partial + ", batch int").parquet(folder)
     rank = F.row_number().over(W.partitionBy("batch", "n").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

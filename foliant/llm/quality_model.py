@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import load, stage, text_or_empty
+from ._common import drawn, load, text_or_empty
 
 FEATURES = (
     "log_words", "word_length", "distinct_share", "top_word_share", "same_as_before", "upper_share", "exclamations", "symbols",
@@ -199,29 +199,20 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", label: str = "quality", **options) -> AdditiveModel:
-    """features(key, x): learns from labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", label: str = "quality", text: str = "text", **options) -> AdditiveModel:
+    """Learns from the texts of labelled rows that aren't held out; a key that several rows have counts once, with its least text.
+
+    The labels of least hash are chosen first, so texts of other rows are neither cut into features nor
+    moved, and what goes to the driver is the features of `max_rows` rows at most.
+    """
     marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y"))
-    rows = features.where(~held_out(key)).join(marks, key).select("x", "y", F.xxhash64(F.col(key).cast("string")).alias("o")).orderBy("o").limit(max_rows).collect()
+    marks = drawn(marks.where(~held_out(key)).select(F.col(key).alias("k"), "y"), F.xxhash64(F.col("k").cast("string")), max_rows)
+    each = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(F.broadcast(marks), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    rows = each.select("k", "y", text_features("t").alias("x")).orderBy(F.xxhash64(F.col("k").cast("string")), "k").select("x", "y").collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return AdditiveModel(**options).fit(x, np.array([r["y"] for r in rows], np.float64))
 
 
-def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Staged: key and its text's features x."""
-    return stage(docs.select(key, text_features(text_or_empty(text)).alias("x")), "quality-features")
-
-
-def scorer(model: AdditiveModel):
-    """A column function from features to scores."""
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([np.asarray(v, np.float64) for v in x])) if len(x) else np.zeros(0))
-
-    return score
-
-
 def text_scorer(model: AdditiveModel):
     """A column function from texts to scores."""
 
@@ -234,9 +225,8 @@ def text_scorer(model: AdditiveModel):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row for each input row: key, held_out boolean, score double, predicted int."""
-    features = with_features(docs, key, text)
-    model = fit(features, labels, key=key, **options)
-    out = features.select(key, held_out(key).alias("held_out"), scorer(model)("x").alias("score"))
+    model = fit(docs, labels, key=key, text=text, **options)
+    out = docs.select(key, held_out(key).alias("held_out"), text_scorer(model)(text_or_empty(text)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -3,7 +3,8 @@
 Sequential covering: a rule that rejects grows one threshold at a time by information gain, is pruned
 on rows kept apart for that, and what it covers is set aside before the next one is grown. The list
 becomes one ordered conditional expression that Spark evaluates; only the learning, on at most
-`max_rows` labelled rows of least hash, happens on the driver.
+`max_rows` labelled rows of least hash, happens on the driver; rows that can't be among these are left
+out before they leave their tasks.
 
 Defined results: null and empty texts have zero statistics and fail the base rules; labels that are
 null or belong to no row are not used, several for one doc_id are averaged; without labels of both
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import load, stage, text_or_empty
+from ._common import drawn, load, stage, text_or_empty
 
 MAX_ROWS = 20_000
 BLANK = " \t\n\x0b\x0c\r"
@@ -147,10 +148,12 @@ class DecisionList:
 
 
 def learn(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", label: str = "quality", **options) -> DecisionList:
-    """stats from `statistics`; rows whose crc32(key as text) mod 3 is 1 are left for measuring."""
+    """stats from `statistics`; rows whose crc32(key as text) mod 3 is 1 are left for measuring. A key that several rows have counts once, with the least of each count."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.avg(F.col(label).cast("double")) < 0.5).alias("reject"))
     order = F.xxhash64(F.col(key).cast("string"))
-    rows = stats.where(F.crc32(F.col(key).cast("string")) % 3 != 1).join(marks, key).withColumn("o", order).orderBy("o").limit(max_rows)
+    marks = drawn(marks.where(F.crc32(F.col(key).cast("string")) % 3 != 1), order, max_rows)
+    each = stats.join(F.broadcast(marks), key).groupBy(key).agg(*[F.min(c).alias(c) for c in stats.columns if c != key], F.first("reject").alias("reject"))  # one row of a key, `max_rows` at most
+    rows = each.withColumn("o", order).orderBy("o")
     got = rows.selectExpr("reject", *[f"CAST({v} AS DOUBLE)" for v in SHARES.values()]).collect()
     x = np.array([tuple(r)[1:] for r in got], float).reshape(len(got), len(SHARES))
     return DecisionList(**options).fit(x, np.array([r[0] for r in got], bool), list(SHARES))

@@ -3,9 +3,9 @@
 Three kinds of span stand by themselves: assignments of secrets, access identifiers and long hex
 runs. Weak candidates (mixed opaque runs and endpoints) are common in clean text, so they are
 reported only where a complementary part lies within `scope` characters: an opaque run next to an
-access identifier, an endpoint next to an identifier or a secret. The interval join sweeps the spans
+access identifier or an endpoint, an endpoint next to an identifier or a secret, opaque or not. The interval join sweeps the spans
 of one text in order of their starts: the furthest end before and the nearest start after, by part,
-decide without any pair being formed.
+decide without any pair being formed. A weak secret and a weak endpoint complete each other.
 
 Offsets come from cutting a text at the matches: a start is the sum of the lengths before it. Only
 lengths leave the scan, never texts; texts without matches aren't cut at all.
@@ -17,11 +17,11 @@ code points, ends exclusive; an empty table gives an empty result; `scan` ignore
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import load, text_or_empty
+from ._common import free_prefix, load, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in the order in which equal starts are listed. Runs too short to keep are left out by their patterns.
@@ -66,14 +66,27 @@ def find(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
     order = W.partitionBy(*KEY).orderBy("start", "kind", "end")
     earlier, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     near = {}
-    for name, kinds in {"base": BASE, "id": ["access"], "key": ["assign", "hex"]}.items():
-        one = F.col("kind").isin([KINDS.index(k) for k in kinds])
-        last, first = F.max(F.when(one, F.col("end"))).over(earlier), F.min(F.when(one, F.col("start"))).over(later)
-        near[f"to_{name}"] = F.least(F.col("start") - last, first - F.col("end"))  # least() skips nulls
+    parts = {"strong": BASE, "id": ["access"], "key": ["assign", "hex"], "url": ["endpoint"], "weak": ["opaque"]}
+
+    def distances(names: list[str], allowed: Column) -> dict[str, Column]:
+        """How far the nearest span of each part is, below zero where it overlaps."""
+        out = {}
+        for name in names:
+            one = F.col("kind").isin([KINDS.index(k) for k in parts[name]]) & allowed
+            last, first = F.max(F.when(one, F.col("end"))).over(earlier), F.min(F.when(one, F.col("start"))).over(later)
+            out[f"to_{name}"] = F.least(F.col("start") - last, first - F.col("end"))  # least() skips nulls
+        return out
+
     within = lambda name: F.coalesce(F.col(f"to_{name}") <= scope, F.lit(False))
-    opaque = (F.col("kind") == KINDS.index("opaque")) & within("id") & F.coalesce(F.col("to_base") >= 0, F.lit(True))
-    endpoint = (F.col("kind") == KINDS.index("endpoint")) & (within("id") | within("key"))
-    reported = spans.withColumns(near).where((F.col("kind") < len(BASE)) | opaque | endpoint)
+    weak, url = F.col("kind") == KINDS.index("opaque"), F.col("kind") == KINDS.index("endpoint")
+    clear = lambda name: F.coalesce(F.col(f"to_{name}") >= 0, F.lit(True))
+    measured = spans.withColumns(distances(["strong", "id", "key", "url"], F.lit(True)))
+    # an opaque run inside another span is part of that, so it completes nothing
+    measured = measured.withColumn("own", ~weak | (clear("strong") & clear("url")))
+    measured = measured.withColumns(distances(["weak"], F.col("own")))
+    opaque = weak & F.col("own") & (within("id") | within("url"))
+    endpoint = url & (within("id") | within("key") | within("weak"))
+    reported = measured.where((F.col("kind") < len(BASE)) | opaque | endpoint)
     return reported.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
@@ -106,7 +119,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
 def redact(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """The same rows and columns, each span in the text replaced by [kind]; `length` follows if there is such a column."""
     kept = docs.columns
-    mark = "__" + "_".join(kept)[:40]  # a prefix that no column has
+    mark = free_prefix(kept)
     names = {c: f"{mark}{c}" for c in [*KEY, "spans"]}
     found = find(docs, scope, key, text).withColumnsRenamed(names)
     raw = docs.withColumn(f"{mark}t", text_or_empty(text))

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, settle, stage
+from ._common import free_prefix, release, settle, stage
 
 KEY_BITS, ALL_BITS = 60, 120
 
@@ -33,17 +33,20 @@ def _prefix(depth: int):
 
 def extendible_shards(docs: DataFrame, max_bytes: int = 256 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each input row: key, shard string, depth int, n_bytes long, shard_bytes long."""
-    rows = stage(
-        docs.select(
-            F.col(key).alias("key"),
-            F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"),
-            F.monotonically_increasing_id().alias("uid"),
-            F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n"),
-        ),
-        "shard-rows",
-    )
+    rows = _weighed(docs, F.monotonically_increasing_id(), key, text)
+    return _assigned(rows, max_bytes).select(F.col("key").alias(key), "shard", "depth", F.col("n").alias("n_bytes"), "shard_bytes")
+
+
+def _weighed(docs: DataFrame, uid: Column, key: str, text: str) -> DataFrame:
+    """Staged: key, k (as text), uid (the row's number), n (bytes of text)."""
+    n = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return stage(docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), uid.alias("uid"), n.alias("n")), "shard-rows")
+
+
+def _assigned(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """rows of `_weighed` -> key, uid, shard, depth, n, shard_bytes."""
     large = rows.where(F.col("n") > max_bytes).select(
-        "key", F.concat(F.lit("x"), F.substring(F.md5(F.col("k")), 1, 15), F.lit("-"), F.col("uid").cast("string")).alias("shard"), F.lit(ALL_BITS).alias("depth"), "n", F.col("n").alias("shard_bytes")
+        "key", "uid", F.concat(F.lit("x"), F.substring(F.md5(F.col("k")), 1, 15), F.lit("-"), F.col("uid").cast("string")).alias("shard"), F.lit(ALL_BITS).alias("depth"), "n", F.col("n").alias("shard_bytes")
     )
     rest = rows.where(F.col("n") <= max_bytes)
     total = rest.agg(F.sum("n")).first()[0] or 0
@@ -61,7 +64,7 @@ def extendible_shards(docs: DataFrame, max_bytes: int = 256 << 20, key: str = "d
         )
         release(up)
         placed = rest.withColumn("leaf", _prefix(high)).join(buckets, "leaf")
-        parts.append(placed.select("key", F.concat(F.lit("b"), "p").alias("shard"), "depth", "n", "shard_bytes"))
+        parts.append(placed.select("key", "uid", F.concat(F.lit("b"), "p").alias("shard"), "depth", "n", "shard_bytes"))
         full = leaves.where(F.col("n") > max_bytes).select("leaf")
         if high >= ALL_BITS or not full.limit(1).count():
             break
@@ -71,14 +74,25 @@ def extendible_shards(docs: DataFrame, max_bytes: int = 256 << 20, key: str = "d
     for p in parts[1:]:
         out = out.unionByName(p)
     settle()
-    return out.select(F.col("key").alias(key), "shard", F.col("depth").cast("int").alias("depth"), F.col("n").alias("n_bytes"), "shard_bytes")
+    return out.withColumn("depth", F.col("depth").cast("int"))
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = 256 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the rows into one folder for each shard (shard=...); returns the assignment. Keys must be unique here."""
-    where = stage(extendible_shards(docs, max_bytes, key, text), "shard-assignment")
-    docs.join(where.select(key, "shard"), key).repartition("shard").write.partitionBy("shard").parquet(path)
-    return where
+    """Write every row into the folder of its shard; returns the assignment: key, shard, depth, n_bytes, shard_bytes.
+
+    Rows go by a number of their own, so null and repeated keys are written as often as they stand in
+    the input. The folders are named shard=...; where the input has such a column, _shard=...
+    """
+    mark = free_prefix(docs.columns)
+    numbered = stage(docs.withColumn(f"{mark}uid", F.monotonically_increasing_id()), "shard-numbered")
+    where = stage(_assigned(_weighed(numbered, F.col(f"{mark}uid"), key, text), max_bytes), "shard-assignment")
+    folder = "shard"
+    while folder in [c.lower() for c in docs.columns]:
+        folder = "_" + folder
+    placed = numbered.join(where.select(F.col("uid").alias(f"{mark}uid"), F.col("shard").alias(folder)), f"{mark}uid")
+    placed.drop(f"{mark}uid").repartition(folder).write.partitionBy(folder).parquet(path)
+    release(numbered)
+    return where.select(F.col("key").alias(key), "shard", "depth", F.col("n").alias("n_bytes"), "shard_bytes")
 
 
 #: Of the registered query: small enough that the smallest tables split.

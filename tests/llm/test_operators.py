@@ -355,7 +355,7 @@ def test_recall_of_nearest_vectors():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     model = additive_quantisation.Codebooks.fit(x[:4000], k=128)
     codes = model.encode(x)
-    pdf = pd.DataFrame({"id": np.arange(len(x)), "v": list(x), "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": np.linalg.norm(model.decode(codes), axis=1)})
+    pdf = pd.DataFrame({"id": np.arange(len(x)), "v": list(x), "h": np.arange(len(x)), "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": np.linalg.norm(model.decode(codes), axis=1)})
     q = np.arange(0, 1000, 20)
     best = {}
     for n, i, s in additive_quantisation._search_slice(pdf, x[q], q, model, 20, 400):
