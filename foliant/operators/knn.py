@@ -62,3 +62,19 @@ def best_passages(scores: DataFrame, passages: DataFrame, skip: str | None = Non
     best = rows.groupBy("path").agg(F.max_by(F.struct("score", "line"), F.struct("score", -F.col("line"))).alias("b")).select("path", "b.*")
     ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path"))) if limit is None else best.orderBy(F.desc("score"), "path").limit(limit).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
     return ranked
+
+
+def nearest_documents(scores: DataFrame, places: DataFrame, limit: int, skip: str | None = None) -> list:
+    """scores(key, score) -> rows (path, line, score, rank) of the `limit` documents with the best passages.
+
+    Few passages usually hold enough documents: the nearest 4 x limit are looked up, then 4 times as many,
+    then all, whichever first gives enough.
+    """
+    for k in (4 * limit, 16 * limit, None):
+        top = scores if k is None else scores.orderBy(F.desc("score"), "key").limit(k)
+        got = best_passages(top, places, skip, limit).orderBy("rank").collect()  # `limit` rows
+        # passages as near as the last one taken may be missing, so a document counts only if it is nearer
+        last = None if k is None else top.agg(F.min("score")).first()[0]
+        if last is None or len(got) == limit and got[-1]["score"] > last:
+            break
+    return got

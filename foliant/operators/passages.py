@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vector as V
 
 BATCH, SORT_WINDOW, DIMS = 16, 256, 64
+_WORD = re.compile(r"[^\W_]+")
 
 
 def passages(chunks: DataFrame) -> DataFrame:
@@ -52,6 +58,29 @@ def word_hash_embedding(text, dims: int = DIMS):
     return F.get(F.transform(counts, V.unit), F.lit(0))
 
 
+class _Slots(dict):
+    def __missing__(self, word: str) -> int:
+        short = len(word.encode("utf-8", "surrogatepass")) < X.WORD_LIMIT
+        k = self[word] = hashlib.md5(word.lower().encode("utf-8", "surrogatepass")).digest()[0] % DIMS if short else -1
+        return k
+
+
+_slots = _Slots()
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def word_hash_vectors(texts: pd.Series) -> pd.Series:
+    """The same as `word_hash_embedding` for many texts at once."""
+    out = []
+    for t in texts:
+        if len(_slots) > 500_000:
+            _slots.clear()
+        slots = np.fromiter((_slots[w] for w in _WORD.findall(t or "")), np.int64)
+        counts = np.bincount(slots[slots >= 0], minlength=DIMS).astype(float)
+        out.append(counts / (math.sqrt((counts * counts).sum()) or 1.0))
+    return pd.Series(out)
+
+
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "passage", key: str = "key") -> DataFrame:
     """key, vec through a model given as a function over batches of texts; batches hold texts of like length."""
 

@@ -1,8 +1,9 @@
 """Words half of the search: an inverted index, BM25 over boosted fields, all-words and any-words matching.
 
-A query's terms are few, so a query is answered in one pass over the chunks with term frequencies
-counted inside the row: no join, no shuffle but the top-k. Corpus figures (rows, lengths and document
-frequencies of the asked terms) are one aggregate row. Many queries at once go through `postings`.
+A query needs the counts of its few terms in each chunk: from a stored index (operators/index.py),
+which is how libraries are searched, or counted inside the rows of analyzed chunks. Corpus figures
+(document frequencies of the asked terms) are one aggregate row. Many queries at once go through
+`asked_postings`.
 """
 
 from __future__ import annotations
@@ -120,12 +121,12 @@ def idf(n: int, df: int) -> float:
     return log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def _fields(clause: Clause, fields) -> list[str]:
+def of_fields(clause: Clause, fields) -> list[str]:
     return [f for f in fields if clause.field in (None, f)]
 
 
 def holds(clause: Clause, fields) -> Column:
-    return reduce(lambda a, b: a | b, [_in(F.col(f"terms.{f}"), clause) > 0 for f in _fields(clause, fields)], F.lit(False))
+    return reduce(lambda a, b: a | b, [_in(F.col(f"terms.{f}"), clause) > 0 for f in of_fields(clause, fields)], F.lit(False))
 
 
 def bm25(clauses: list[Clause], figures: Corpus, tf=None, length=None) -> Column:
@@ -139,7 +140,7 @@ def bm25(clauses: list[Clause], figures: Corpus, tf=None, length=None) -> Column
     for i, c in enumerate(clauses):
         if c.sign == "-":
             continue
-        for f in _fields(c, figures.average):
+        for f in of_fields(c, figures.average):
             df = figures.df[f, i]
             if df:
                 n = tf(f, i).cast("double")
@@ -172,87 +173,113 @@ def distinctive(query: str, chunks: DataFrame, stemmed: bool = True) -> str:
     return _distinctive(query, {t: figures.df["body", i] for i, t in enumerate(terms)}, figures.rows, stemmed)
 
 
-class _Counted:
-    """Chunks reduced to lengths and clause counts: texts are analyzed once, all else looks at these few numbers."""
+class Counted:
+    """Chunks reduced to lengths and clause counts: path, order, links, len_<field>, tf_<field>_<clause>; with the corpus figures."""
 
-    def __init__(self, chunks: DataFrame, clauses: list[Clause], order: str):
+    def __init__(self, chunks: DataFrame, clauses: list[Clause], order: str = "line"):
         self.fields = chunks.schema["terms"].dataType.names
         self.at = {(c.terms, c.field): i for i, c in enumerate(clauses)}
         links = F.col("backlink_count") if "backlink_count" in chunks.columns else F.lit(0)
-        tf = [_in(F.col(f"terms.{f}"), c).alias(f"tf_{f}_{i}") for i, c in enumerate(clauses) for f in _fields(c, self.fields)]
-        self.rows = chunks.select("path", order, links.alias("links"), *[F.size(f"terms.{f}").alias(f"len_{f}") for f in self.fields], *tf).persist()
+        tf = [_in(F.col(f"terms.{f}"), c).alias(f"tf_{f}_{i}") for i, c in enumerate(clauses) for f in of_fields(c, self.fields)]
+        self.rows = chunks.select("path", order, links.alias("links"), *[F.size(f"terms.{f}").alias(f"len_{f}") for f in self.fields], *tf)
+        row = self.rows.agg(F.count("*").alias("n"), *[F.avg(f"len_{f}").alias(f) for f in self.fields]).first()
+        self.n, self.average = row["n"], {f: row[f] or 0.0 for f in self.fields}
 
-    def covers(self, clauses: list[Clause]) -> bool:
-        return all((c.terms, c.field) in self.at for c in clauses)
 
-    def tf(self, c: Clause, field: str) -> Column:
-        return F.col(f"tf_{field}_{self.at[c.terms, c.field]}")
+def _tf(counted, c: Clause, field: str) -> Column:
+    return F.col(f"tf_{field}_{counted.at[c.terms, c.field]}")
 
-    def holds(self, c: Clause) -> Column:
-        return reduce(lambda a, b: a | b, [self.tf(c, f) > 0 for f in _fields(c, self.fields)], F.lit(False))
 
-    def matched(self, clauses: list[Clause], every: bool) -> Column:
-        asked = [c for c in clauses if c.sign != "-"]
-        out = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [self.holds(c) for c in asked], F.lit(every))
-        for c in clauses:
-            out = out & self.holds(c) if c.sign == "+" else out & ~self.holds(c) if c.sign == "-" else out
-        return out
+def _holds(counted, c: Clause) -> Column:
+    return reduce(lambda a, b: a | b, [_tf(counted, c, f) > 0 for f in of_fields(c, counted.fields)], F.lit(False))
 
 
-def search(chunks: DataFrame, query: str, limit: int = 10, stemmed: bool = True, order: str = "line") -> tuple[DataFrame, bool]:
-    """Best chunk of each document for the query, with rank, score and share; and whether all words were found together.
+def _matched(counted, clauses: list[Clause], every: bool) -> Column:
+    asked = [c for c in clauses if c.sign != "-"]
+    out = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [_holds(counted, c) for c in asked], F.lit(every))
+    for c in clauses:
+        out = out & _holds(counted, c) if c.sign == "+" else out & ~_holds(counted, c) if c.sign == "-" else out
+    return out
+
+
+def known_clauses(query: str, stemmed: bool = True) -> list[Clause]:
+    """All that an answer has to count: the query's clauses and its terms alone."""
+    clauses, _ = parse(query, stemmed)
+    alone = [Clause((t,)) for t in sorted({*_query_terms(query, stemmed), *(t for c in clauses for t in c.terms)})]
+    return list({(c.terms, c.field): c for c in [*clauses, *alone]}.values())
 
-    chunks: analyzed, with path, line and optionally backlink_count. All words first, over all fields of
-    a chunk; only if no chunk has them, any of the distinctive words. One pass reads texts and leaves
-    counts; one aggregate of these gives all figures; the few best rows are then joined to their chunks.
+
+def answer(counted, query: str, limit: int = 10, stemmed: bool = True, order: str = "line") -> tuple[list, bool]:
+    """Rows (path, order, score, share, rank) of the best chunk of each of the `limit` best documents, in order; and whether all words were found together.
+
+    counted: chunks as Counted or Indexed gives them. All words first, over all fields of a chunk; only
+    if no chunk has them, any of the distinctive words. One aggregate gives all figures, one top-k the rows.
     """
     clauses, either = parse(query, stemmed)
-    shown = [c for c in chunks.columns if c != "terms"]
-    if not query.strip() or limit <= 0 or not clauses:
-        return chunks.select(*shown).limit(0).withColumns({"score": F.lit(0.0), "share": F.lit(0.0), "rank": F.lit(0)}), False
-    words_alone = [Clause((t,)) for t in sorted({*_query_terms(query, stemmed), *(t for c in clauses for t in c.terms)})]
-    known = list({(c.terms, c.field): c for c in [*clauses, *words_alone]}.values())
-    counted = _Counted(chunks, known, order)
+    known = known_clauses(query, stemmed)
     fields = counted.fields
-    aggs = [F.count("*").alias("n"), F.coalesce(F.max(counted.matched(clauses, not either)), F.lit(False)).alias("together")]
-    aggs += [F.avg(f"len_{f}").alias(f"len_{f}") for f in fields]
-    aggs += [F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for i, c in enumerate(known) for f in _fields(c, fields)]
+    aggs = [F.coalesce(F.max(_matched(counted, clauses, not either)), F.lit(False)).alias("together")]
+    aggs += [F.count_if(F.col(f"tf_{f}_{counted.at[c.terms, c.field]}") > 0).alias(f"df_{f}_{i}") for i, c in enumerate(known) for f in of_fields(c, fields)]
     row = counted.rows.agg(*aggs).first()
     all_words = row["together"]
     if all_words:
-        every = counted.matched(clauses, not either)
+        every = _matched(counted, clauses, not either)
     else:
         body = {c.terms[0]: row[f"df_body_{i}"] for i, c in enumerate(known) if c.field is None and len(c.terms) == 1} if "body" in fields else {}
-        rest, _ = parse(_distinctive(query, body, row["n"], stemmed), stemmed)
-        if counted.covers(rest):  # dropping a word from inside a phrase would make a new one
+        rest, _ = parse(_distinctive(query, body, counted.n, stemmed), stemmed)
+        if all((c.terms, c.field) in counted.at for c in rest):  # dropping a word from inside a phrase would make a new one
             clauses = rest
-        every = counted.matched(clauses, False)
-    at = [counted.at[c.terms, c.field] for c in clauses]
-    figures = Corpus(row["n"], {f: row[f"len_{f}"] or 0.0 for f in fields}, {(f, k): row[f"df_{f}_{i}"] for k, i in enumerate(at) for f in _fields(clauses[k], fields)})
-    score = bm25(clauses, figures, lambda f, k: counted.tf(clauses[k], f), lambda f: F.col(f"len_{f}"))
+        every = _matched(counted, clauses, False)
+    at = {(c.terms, c.field): i for i, c in enumerate(known)}
+    figures = Corpus(counted.n, counted.average, {(f, k): row[f"df_{f}_{at[c.terms, c.field]}"] for k, c in enumerate(clauses) for f in of_fields(c, fields)})
+    score = bm25(clauses, figures, lambda f, k: _tf(counted, clauses[k], f), lambda f: F.col(f"len_{f}"))
     terms = sorted({t for c in clauses for t in c.terms})
-    held = reduce(lambda a, b: a + b, [counted.holds(Clause((t,))).cast("int") for t in terms], F.lit(0))
+    held = reduce(lambda a, b: a + b, [_holds(counted, Clause((t,))).cast("int") for t in terms], F.lit(0))
     share = F.lit(1.0) if all_words or not terms else held / len(terms)
     scored = counted.rows.where(every).select("path", order, X.backlink_boost(score, F.col("links")).alias("score"), share.alias("share"))
-    best = scored.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy(F.desc("score"), order))).where("nth = 1").drop("nth")
-    top = best.orderBy(F.desc("score"), "path").limit(limit)
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
-    return chunks.select(*shown).join(F.broadcast(ranked), ["path", order]), all_words  # `limit` rows
+    best = scored.groupBy("path").agg(F.max_by(F.struct(order, "score", "share"), F.struct("score", -F.col(order))).alias("b")).select("path", "b.*")
+    top = best.orderBy(F.desc("score"), "path").limit(limit).collect()  # `limit` rows
+    return [(r["path"], r[order], r["score"], r["share"], k) for k, r in enumerate(top, 1)], bool(all_words)
+
+
+def shown(chunks: DataFrame, found: list, order: str = "line") -> DataFrame:
+    """Rows of `answer` with their chunks' columns; only the chunks of the found paths are read."""
+    spark = chunks.sparkSession
+    ranked = spark.createDataFrame(found, f"path string, {order} long, score double, share double, rank int")
+    kept = [c for c in chunks.columns if c != "terms"]
+    near = chunks.where(F.col("path").isin([f[0] for f in found])) if found else chunks.limit(0)
+    return near.select(*kept).join(F.broadcast(ranked), ["path", order]).orderBy("rank")  # as many rows as the caller asked for
+
+
+def search(chunks: DataFrame, query: str, limit: int = 10, stemmed: bool = True, order: str = "line") -> tuple[DataFrame, bool]:
+    """Chunks of `answer` over analyzed chunks (path, line, optionally backlink_count) that have no stored index: texts are read twice."""
+    if not query.strip() or limit <= 0 or not parse(query, stemmed)[0]:
+        return shown(chunks, [], order), False
+    found, every = answer(Counted(chunks, known_clauses(query, stemmed), order), query, limit, stemmed, order)
+    return shown(chunks, found, order), every
+
+
+def asked_postings(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", field: str = "body") -> DataFrame:
+    """term, key, tf, len of the asked terms alone; chunks analyzed, asked(term) distinct. Dealt by key once: all that follows by key needs no shuffle."""
+    each = chunks.select(key, F.col(f"terms.{field}").alias("terms")).repartition(key)
+    each = each.select(key, F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked, "term", "left_semi")
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25_many(postings: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
-    """queries(query_id, term) against postings(term, key, tf) and lengths(key, len): the k best of each query, one field.
+def bm25_many(postings: DataFrame, figures: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """queries(query_id, term) against postings(term, key, tf, len) and figures(n, avg), one row: the k best of each query, one field.
 
-    The postings of the asked terms alone are touched; the term join is on the short side of the query
-    terms, and top-k runs partially before its shuffle.
+    Terms that no query asks for need not be in the postings. Scores are summed where the postings lie,
+    and the top-k runs partially before its shuffle.
     """
-    figures = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    n, average = figures["n"] or 0, figures["avg"] or 1.0
+    row = figures.first()
+    n, average = row["n"] or 0, row["avg"] or 1.0
     asked = queries.select("query_id", "term").distinct()
-    mine = postings.join(asked, "term")
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    by_term = asked.join(df, "term").groupBy("term").agg(F.collect_list("query_id").alias("ids"), F.first(weight).alias("weight"))
     tf = F.col("tf").cast("double")
-    part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / average))
-    scores = mine.join(df, "term").join(lengths, key).groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / average))
+    scores = postings.join(by_term, "term").select(key, F.explode("ids").alias("query_id"), part.alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,7 +1,10 @@
 """Versioned tables in a folder: format probes, atomic replacement, one writer, unchanged tables not rewritten.
 
-A table is a folder of generations; a pointer file names the current one and is replaced last, so a
-reader sees either the old or the new generation. All paths go through Spark's file systems.
+A table is a set of segments, folders seg=<n>; a pointer file _meta-<n>.json names those that count. A
+new pointer appears by a rename onto a name that is not there yet, and the one with the greatest number
+holds, so a reader sees either the old or the new state and a crash leaves the old one. The state
+before is kept for readers that have begun; older segments and pointers go. All paths go through
+Spark's file systems.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ class Busy(RuntimeError):
 
 
 class Store:
+    #: Seconds after which a lock counts as left behind by a writer that died.
+    LOCK_SECONDS = 6 * 3600
+
     def __init__(self, spark: SparkSession, root: str, version: int = 1):
         self.spark, self.root, self.version = spark, root.rstrip("/"), version
 
@@ -32,53 +38,94 @@ class Store:
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _read(self, *parts: str) -> dict | None:
+    def _names(self, *parts: str) -> list[str]:
         fs, path = self._fs(), self._path(*parts)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _load(self, *parts: str) -> dict:
+        stream = self._fs().open(self._path(*parts))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _write(self, data: dict, *parts: str) -> None:
-        fs, path = self._fs(), self._path(*parts)
-        temp = self._path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
+    def _pointers(self, table: str) -> list[str]:
+        return [n for n in self._names(table) if n.startswith("_meta-")]
+
+    def _point(self, table: str, data: dict) -> None:
+        """Make `data` the state of a table, then sweep what only older states name."""
+        fs, before = self._fs(), self._pointers(table)
+        number = int(before[-1][6:-5]) + 1 if before else 0
+        temp, path = self._path(table, f".{uuid.uuid4().hex}"), self._path(table, f"_meta-{number:09d}.json")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(data, sort_keys=True).encode()))
         out.close()
-        if not fs.rename(temp, path):  # most stores don't rename over a file
-            fs.delete(path, False)
-            fs.rename(temp, path)
+        if not fs.rename(temp, path):
+            fs.delete(temp, False)
+            raise Busy(self.root)
+        for name in before[:-1]:
+            fs.delete(self._path(table, name), False)
+        named = {*data["segments"], *(self._load(table, before[-1])["segments"] if before else [])}
+        for name in self._names(table):
+            if name.startswith("seg=") and int(name[4:]) not in named:
+                fs.delete(self._path(table, name), True)
 
     def meta(self, table: str) -> dict | None:
-        """Of the current generation; raises Stale for another format, before any data is read."""
-        meta = self._read(table, "_meta.json")
+        """Of the current state; raises Stale for another format, before any data is read."""
+        names = self._pointers(table)
+        meta = self._load(table, names[-1]) if names else None
         if meta and meta["version"] != self.version:
             raise Stale(f"{table}: format {meta['version']}, expected {self.version}")
         return meta
 
-    def read(self, table: str) -> DataFrame | None:
+    def _open(self, table: str, meta: dict, segments: list[int]) -> DataFrame:
+        paths = [f"{self.root}/{table}/seg={n}" for n in segments]
+        rows = self.spark.read.schema(meta["schema"] + ", seg int").option("basePath", f"{self.root}/{table}").parquet(*paths)
+        return rows
+
+    def read(self, table: str, segments: bool = False) -> DataFrame | None:
+        """The rows; with `seg`, the number of their segment, if that is wanted."""
         meta = self.meta(table)
-        return self.spark.read.schema(meta["schema"]).parquet(f"{self.root}/{table}/{meta['generation']}") if meta else None
+        if not meta:
+            return None
+        rows = self._open(table, meta, meta["segments"])
+        return rows if segments else rows.drop("seg")
+
+    def _segment(self, table: str, df: DataFrame, partition: tuple) -> int:
+        number = time.time_ns() // 1000 % (1 << 31)
+        while f"seg={number}" in self._names(table):
+            number += 1
+        df.write.partitionBy(*partition).parquet(f"{self.root}/{table}/seg={number}")
+        return number
 
-    def write(self, table: str, df: DataFrame, **extra) -> bool:
+    def write(self, table: str, df: DataFrame, partition: tuple = (), **extra) -> bool:
         """Replace a table; false if the rows are the same as before and nothing was written."""
-        old = self._read(table, "_meta.json")
-        generation = f"g-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{table}/{generation}")
-        new = self.spark.read.schema(df.schema).parquet(f"{self.root}/{table}/{generation}")
-        digest = self.digest(new)
-        if old and old["version"] == self.version and old["digest"] == digest and old.get("extra") == extra:
-            self._fs().delete(self._path(table, generation), True)
-            return False
+        old = self.meta(table) if self._pointers(table) and self._load(table, self._pointers(table)[-1])["version"] == self.version else None
+        df = df.select(*[c for c in df.columns if c not in partition], *partition)
+        number = self._segment(table, df, partition)
         schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-        self._write({"version": self.version, "generation": generation, "digest": digest, "schema": schema, "extra": extra}, table, "_meta.json")
-        if old:
-            self._fs().delete(self._path(table, old["generation"]), True)
+        meta = {"version": self.version, "schema": schema, "extra": extra, "partition": list(partition)}
+        digest = self.digest(self._open(table, meta, [number]).drop("seg"))
+        if old and old["digest"] == digest and old["extra"] == extra and len(old["segments"]) == 1:
+            self._fs().delete(self._path(table, f"seg={number}"), True)
+            return False
+        self._point(table, meta | {"digest": digest, "segments": [number]})
         return True
 
+    def add(self, table: str, df: DataFrame, partition: tuple = (), **extra) -> int:
+        """Add rows as a segment of their own; what is there stays as it is. Returns the segment's number."""
+        old = self.meta(table)
+        df = df.select(*[c for c in df.columns if c not in partition], *partition)
+        number = self._segment(table, df, partition)
+        schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+        if old and old["schema"] != schema:
+            raise Stale(f"{table}: columns {old['schema']}, not {schema}")
+        self._point(table, {"version": self.version, "schema": schema, "extra": extra, "partition": list(partition), "digest": None, "segments": [*(old["segments"] if old else []), number]})
+        return number
+
+    def drop(self, table: str) -> None:
+        self._fs().delete(self._path(table), True)
+
     @staticmethod
     def digest(df: DataFrame) -> str:
         """Of the rows in any order."""
@@ -86,14 +133,10 @@ class Store:
         row = df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
         return f"{row['n']}:{row['s']}:{row['x']}:{df.schema.simpleString()}"
 
-    def append(self, table: str, rows: DataFrame, key: str = "key") -> None:
-        """Add rows to a log; keys that are there stay as they are."""
-        rows.write.mode("append").parquet(f"{self.root}/{table}/log")
-
     def log(self, table: str, key: str = "key") -> DataFrame | None:
-        if not self._fs().exists(self._path(table, "log")):
-            return None
-        return self.spark.read.parquet(f"{self.root}/{table}/log").dropDuplicates([key])
+        """Rows of a table that grows by `add`: one of each key."""
+        rows = self.read(table)
+        return rows if rows is None else rows.dropDuplicates([key])
 
     def compact(self, table: str, live: DataFrame, key: str = "key", slack: int = 1024) -> bool:
         """Rewrite a log without dead keys once these are many and outnumber the live ones."""
@@ -102,11 +145,7 @@ class Store:
         n, alive = log.count(), kept.count()
         if n - alive <= slack or n - alive <= alive:
             return False
-        kept.write.parquet(f"{self.root}/{table}/new")
-        fs = self._fs()
-        fs.delete(self._path(table, "log"), True)
-        fs.rename(self._path(table, "new"), self._path(table, "log"))
-        return True
+        return self.write(table, kept)
 
     def lock(self):
         return _Lock(self)
@@ -118,9 +157,12 @@ class _Lock:
 
     def __enter__(self):
         fs = self.store._fs()
-        if not fs.createNewFile(self.path):
-            raise Busy(self.store.root)
-        return self
+        if fs.createNewFile(self.path):
+            return self
+        age = time.time() - fs.getFileStatus(self.path).getModificationTime() / 1000
+        if age > Store.LOCK_SECONDS and fs.delete(self.path, False) and fs.createNewFile(self.path):
+            return self
+        raise Busy(self.store.root)
 
     def __exit__(self, *_):
         self.store._fs().delete(self.path, False)
