@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +13,21 @@ AXES = 2
 
 
 def moments(rows: DataFrame, vec: str, dims: int) -> np.ndarray:
-    """The uncentred second-moment matrix, summed in the JVM: dims x dims numbers come back, whatever the rows."""
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    parts = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]), lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), (F.get(vec, p["i"]) * F.get(vec, p["j"])).alias("x")))
-    sums = rows.select(F.explode(parts).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.x").alias("x")).collect()
+    """The uncentred second-moment matrix: each task sums the products of its own vectors, and dims x dims sums are added up."""
+
+    def run(batches):
+        total = np.zeros((dims, dims))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(dims), "row": list(total)})
+
+    part = rows.select(F.col(vec).cast("array<double>").alias("v")).where(F.size("v") == dims).mapInPandas(run, "i int, row array<double>")
+    sums = part.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()  # dims x dims
     out = np.zeros((dims, dims))
     for r in sums:
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["x"]
+        out[r["i"], r["j"]] = r["x"]
     return out
 
 

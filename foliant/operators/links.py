@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -68,13 +69,31 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return best.select(F.col("path").alias("from_path"), "to_path").distinct()
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _parents(spans: pd.Series) -> pd.Series:
+    """Of spans (start, end, id) in order: the number of the innermost other one around each, or null."""
+    out = []
+    for file in spans:
+        opened, parents = [], []
+        for k, s in enumerate(file):
+            while opened and file[opened[-1]]["end"] < s["end"]:
+                opened.pop()
+            parents.append(opened[-1] if opened else None)
+            opened.append(k)
+        out.append(parents)
+    return pd.Series(out)
+
+
 def innermost_parent(symbols: DataFrame) -> DataFrame:
     """symbols(path, id, start, end) plus parent: the id of the innermost other symbol around it.
 
-    Intervals of one file nest or are apart, so a pass in order of start needs no range join: the open
-    symbols are those before that end at or after; the one that starts last is the parent.
+    Intervals of one file nest or are apart, so a pass in order of start with a stack of open symbols
+    needs no range join: what ends before this one's end has closed, the top of the rest is the parent.
     """
-    order = W.partitionBy("path").orderBy("start", F.desc("end"), "id").rowsBetween(W.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("start", "end", "id")).over(order)
-    around = F.filter(before, lambda o: o["end"] >= F.col("end"))
-    return symbols.withColumn("parent", F.try_element_at(around, F.lit(-1))["id"])
+    order = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (-F.col("end").cast("long")).alias("back"), F.col("id").alias("id"))))
+    files = symbols.groupBy("path").agg(order.alias("all"))
+    files = files.withColumn("parents", _parents(F.transform("all", lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))))
+    ids = F.transform("all", lambda s: s["id"])
+    both = F.arrays_zip(ids.alias("id"), F.transform("parents", lambda k: F.get(ids, k.cast("int"))).alias("parent"))
+    found = files.select("path", F.explode(both).alias("b")).select("path", F.col("b.id").alias("id"), F.col("b.parent").alias("parent"))
+    return symbols.join(found, ["path", "id"], "left")

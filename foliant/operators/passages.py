@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions import vector as V
 
-BATCH, SORT_WINDOW, DIMS = 16, 256, 64
+BATCH, SORT_WINDOW, DIMS, PARTS = 16, 256, 64, 8
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -43,11 +43,13 @@ def coverage(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return each.join(vectors.select("key", F.lit(True).alias("here")), "key", "left").groupBy("path").agg(F.bool_and(F.coalesce("here", F.lit(False))).alias("complete"))
 
 
-def length_windows(rows: DataFrame, text: str = "passage", key: str = "key", size: int = SORT_WINDOW) -> DataFrame:
-    """rows with `window`: runs of `size` rows of like length, inside buckets of powers of two so that no global sort is needed."""
-    bucket = F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))).cast("int")
-    nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.length(text), key))
-    return rows.withColumn("bucket", bucket).withColumn("window", F.floor((nth - 1) / size))
+def length_windows(rows: DataFrame, text: str = "passage", key: str = "key", size: int = SORT_WINDOW, part: Column | None = None) -> DataFrame:
+    """rows with `bucket`, `part` and `window`: runs of `size` rows of like length. Buckets are powers of two cut in sixteen, each dealt
+    in PARTS parts by a number (of the key's hash, unless given), so that no task sorts more than a small share of all rows whatever their lengths."""
+    n = F.greatest(F.length(text), F.lit(1))
+    bucket = F.floor(16 * F.log2(n)).cast("int")
+    nth = F.row_number().over(W.partitionBy("bucket", "part").orderBy(n, key))
+    return rows.withColumns({"bucket": bucket, "part": F.pmod(F.crc32(F.col(key).cast("string")) if part is None else part, F.lit(PARTS)).cast("int")}).withColumn("window", F.floor((nth - 1) / size))
 
 
 def word_hash_embedding(text, dims: int = DIMS):

@@ -49,18 +49,6 @@ def analyzed(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
     return chunks.withColumn("terms", F.struct(*[analyze(one[f], stemmed).alias(f) for f in fields]))
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """term, field, key, tf, positions; from analyzed chunks."""
-    fields = chunks.schema["terms"].dataType.names
-
-    def placed(field: str) -> Column:
-        terms = F.coalesce(f"terms.{field}", F.array().cast("array<string>"))
-        return F.transform(terms, lambda w, i: F.struct(w.alias("term"), F.lit(field).alias("field"), i.alias("pos")))
-
-    each = F.concat(*map(placed, fields))
-    return chunks.select(key, F.explode(each).alias("p")).groupBy("p.term", "p.field", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("p.pos")).alias("positions"))
-
-
 def term_df(chunks: DataFrame, field: str = "body") -> DataFrame:
     """term, df: chunks whose field holds the term."""
     return chunks.select(F.explode(F.array_distinct(f"terms.{field}")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -194,7 +182,8 @@ def _holds(counted, c: Clause) -> Column:
     return reduce(lambda a, b: a | b, [_tf(counted, c, f) > 0 for f in of_fields(c, counted.fields)], F.lit(False))
 
 
-def _matched(counted, clauses: list[Clause], every: bool) -> Column:
+def matched(counted, clauses: list[Clause], every: bool) -> Column:
+    """Whether a chunk answers: every clause, or any, that is not excluded; what is required in any case."""
     asked = [c for c in clauses if c.sign != "-"]
     out = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [_holds(counted, c) for c in asked], F.lit(every))
     for c in clauses:
@@ -202,6 +191,12 @@ def _matched(counted, clauses: list[Clause], every: bool) -> Column:
     return out
 
 
+def share(counted, terms: list[str]) -> Column:
+    """Of the asked terms the share that a chunk holds."""
+    each = sorted(set(terms))
+    return reduce(lambda a, b: a + b, [_holds(counted, Clause((t,))).cast("int") for t in each], F.lit(0)) / len(each)
+
+
 def known_clauses(query: str, stemmed: bool = True) -> list[Clause]:
     """All that an answer has to count: the query's clauses and its terms alone."""
     clauses, _ = parse(query, stemmed)
@@ -218,25 +213,24 @@ def answer(counted, query: str, limit: int = 10, stemmed: bool = True, order: st
     clauses, either = parse(query, stemmed)
     known = known_clauses(query, stemmed)
     fields = counted.fields
-    aggs = [F.coalesce(F.max(_matched(counted, clauses, not either)), F.lit(False)).alias("together")]
+    aggs = [F.coalesce(F.max(matched(counted, clauses, not either)), F.lit(False)).alias("together")]
     aggs += [F.count_if(F.col(f"tf_{f}_{counted.at[c.terms, c.field]}") > 0).alias(f"df_{f}_{i}") for i, c in enumerate(known) for f in of_fields(c, fields)]
     row = counted.rows.agg(*aggs).first()
     all_words = row["together"]
     if all_words:
-        every = _matched(counted, clauses, not either)
+        every = matched(counted, clauses, not either)
     else:
         body = {c.terms[0]: row[f"df_body_{i}"] for i, c in enumerate(known) if c.field is None and len(c.terms) == 1} if "body" in fields else {}
         rest, _ = parse(_distinctive(query, body, counted.n, stemmed), stemmed)
         if all((c.terms, c.field) in counted.at for c in rest):  # dropping a word from inside a phrase would make a new one
             clauses = rest
-        every = _matched(counted, clauses, False)
+        every = matched(counted, clauses, False)
     at = {(c.terms, c.field): i for i, c in enumerate(known)}
     figures = Corpus(counted.n, counted.average, {(f, k): row[f"df_{f}_{at[c.terms, c.field]}"] for k, c in enumerate(clauses) for f in of_fields(c, fields)})
     score = bm25(clauses, figures, lambda f, k: _tf(counted, clauses[k], f), lambda f: F.col(f"len_{f}"))
     terms = sorted({t for c in clauses for t in c.terms})
-    held = reduce(lambda a, b: a + b, [_holds(counted, Clause((t,))).cast("int") for t in terms], F.lit(0))
-    share = F.lit(1.0) if all_words or not terms else held / len(terms)
-    scored = counted.rows.where(every).select("path", order, X.backlink_boost(score, F.col("links")).alias("score"), share.alias("share"))
+    part = F.lit(1.0) if all_words or not terms else share(counted, terms)
+    scored = counted.rows.where(every).select("path", order, F.round(X.backlink_boost(score, F.col("links")), 9).alias("score"), part.alias("share"))
     best = scored.groupBy("path").agg(F.max_by(F.struct(order, "score", "share"), F.struct("score", -F.col(order))).alias("b")).select("path", "b.*")
     top = best.orderBy(F.desc("score"), "path").limit(limit).collect()  # `limit` rows
     return [(r["path"], r[order], r["score"], r["share"], k) for k, r in enumerate(top, 1)], bool(all_words)

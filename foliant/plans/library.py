@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import axes as A
-from ..operators import chunker, diff, explain, fusion, index, knn, links, passages, preview, words
+from ..operators import chunker, diff, explain, fusion, health, index, knn, links, passages, preview, words
 from ..sources import decode, files, markup
 from ..sources.store import Store
 
@@ -219,17 +219,14 @@ class Library:
         return rows.drop("bucket", "generation")
 
     def status(self) -> DataFrame:
-        m = self.store.read("manifest")
-        return m.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+        return health.status(self.store.read("manifest"))
 
     def health(self) -> DataFrame:
-        """path, why of files under a current source that could not be read in full: skipped, textless, guessed encoding."""
-        now = self.sources().select(F.col("path").alias("source"))
-        m = self.store.read("manifest")
-        rows = self.store.read("skipped").select("path", "source", "why")
-        rows = rows.unionByName(m.where("textless").select("path", "source", F.lit("textless").alias("why")))
-        rows = rows.unionByName(m.where("guessed is not null").select("path", "source", F.concat(F.lit("guessed "), "guessed").alias("why")))
-        return rows.join(now, "source", "left_semi").select("why", "path").orderBy("why", "path")
+        """why, path of files under a current source that could not be read in full: skipped, textless, guessed encoding."""
+        return health.unread(self.store.read("manifest"), self.store.read("skipped"), self.sources()).orderBy("why", "path")
+
+    def guessed(self) -> DataFrame:
+        return health.guessed_encodings(self.store.read("manifest"))
 
     # vectors
 

@@ -6,14 +6,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import axes, chunker, code, diff, evaluate, explain, fusion, knn, links, passages, preview, words
-from ..sources import files, markup
+from ..operators import axes, chunker, code, diff, evaluate, explain, fusion, health, index, knn, links, passages, preview, words
+from ..sources import files, git, markup
+from ..sources.store import Store, scratch
 from ..streaming import bursts
 
 QUESTION = "the licensed software was and thing"
@@ -42,6 +45,48 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("text").alias("body"), F.lit(1).cast("long").alias("line"), F.col("source").alias("title"), "lang")
 
 
+_STORES: dict[tuple, Store] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> Store:
+    """The documents as a stored index: chunks, postings, figures, vectors. Built when it is first asked for in an application, as long as the file stays the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, at.getModificationTime(), at.getLen(), stemmed)
+    if key not in _STORES:
+        store = Store(spark, f"{scratch(spark)}/index-{'-'.join(str(abs(hash(k)) % 10**8) for k in key)}-{time.time_ns()}")
+        rows = library(spark, sf_dir).withColumn("modified", F.lit(NOW) - F.col("doc_id") % 90 * 86400).withColumn("headings", F.array().cast("array<string>"))
+        rows = rows.select("path", "title", "body", "line", "modified", "headings").withColumn("bucket", index.bucket(F.col("path")))
+        store.add("chunks", rows.repartition("bucket").sortWithinPartitions("bucket", "path", "line"), ("bucket",))
+        chunks = store.read("chunks")
+        store.add("postings", index.dealt(index.postings(chunks, stemmed), chunks.count()), ("bucket",))
+        store.add("figures", index.figures(store.read("postings")))
+        store.add("vectors", chunks.select("path", "line", passages.word_hash_vectors(F.col("body")).alias("vec")))
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def found_words(store: Store, question: str, limit: int, stemmed: bool = True) -> DataFrame:
+    """The words half over a stored index."""
+    got = index.Indexed(store.read("postings"), store.read("figures"), words.known_clauses(question, stemmed))
+    found, _ = words.answer(got, question, limit, stemmed)
+    return words.shown(_chunks_of(store, [f[0] for f in found]), found)
+
+
+def found_meaning(store: Store, question: str, limit: int) -> DataFrame:
+    """The meaning half: the nearest vectors, then the chunks of these alone."""
+    q = passages.word_hash_embedding(F.lit(question))
+    score = F.round(V.dot(q, F.col("vec")), 9)
+    top = store.read("vectors").select("path", "line", score.alias("score")).orderBy(F.desc("score"), "path").limit(limit).collect()
+    ranked = store.spark.createDataFrame([(r["path"], r["line"], r["score"], k) for k, r in enumerate(top, 1)], "path string, line long, score double, rank int")
+    return _chunks_of(store, [r["path"] for r in top]).join(F.broadcast(ranked), ["path", "line"])  # `limit` rows
+
+
+def _chunks_of(store: Store, paths: list[str]) -> DataFrame:
+    near = F.col("bucket").isin(sorted(set(map(index.bucket_of, paths)))) & F.col("path").isin(paths)
+    return store.read("chunks").where(near).drop("bucket")
+
+
 #: DuckDB's form of the analyzer, and of the library.
 D_WORDS = r"list_transform(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) < 48), lambda w: lower(w))"
 D_LIB = "lib AS (SELECT doc_id, source || '/' || doc_id::VARCHAR || '.txt' AS path, text AS body, source AS title, " + D_WORDS.format("text") + " AS terms FROM documents)"
@@ -63,17 +108,17 @@ def term_df(spark, sf_dir):
     return words.term_df(words.analyzed(library(spark, sf_dir).select("path", "body"), False))
 
 
-@query("WITH " + D_LIB + ", p AS (SELECT path, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM lib) SELECT term, path, count(*)::BIGINT AS tf, min(pos)::BIGINT AS first_pos FROM p WHERE len(term) > 8 GROUP BY ALL")
+@query("WITH " + D_LIB + ", p AS (SELECT path, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM lib) SELECT term, path, count(*)::INT AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY ALL")
 def postings(spark, sf_dir):
-    got = words.postings(words.analyzed(library(spark, sf_dir).select("path", "body"), False), "path")
-    return got.where(F.length("term") > 8).select("term", "path", "tf", F.get("positions", F.lit(0)).cast("long").alias("first_pos"))
+    """The whole inverted index: every term of every document with all its positions."""
+    got = index.postings(library(spark, sf_dir).select("path", "body", "line"), False).where(F.col("bucket") != index.LENGTHS)
+    return got.select("term", "path", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
-@query()
-def postings_whole(spark, sf_dir):
-    """The inverted index: every term of every document with all its positions. `postings` shows the part that its SQL can check cheaply."""
-    got = words.postings(words.analyzed(library(spark, sf_dir).select("path", "body"), False), "path")
-    return got.select("term", "path", "tf", F.transform("positions", lambda p: p.cast("long")).alias("positions"))
+@query("WITH " + D_LIB + f", f AS (SELECT 'body' AS field, len(terms) AS n FROM lib UNION ALL SELECT 'title', len({D_WORDS.format('title')}) FROM lib UNION ALL SELECT 'headings', 0 FROM lib) SELECT field, count(*)::BIGINT AS n, round(avg(n), 6) AS average FROM f GROUP BY field")
+def index_figures(spark, sf_dir):
+    """The corpus figures of the stored index, which is built here unless another query has asked for it."""
+    return stored(spark, sf_dir).read("figures").select("field", "n", F.round("average", 6).alias("average"))
 
 
 _BM25 = """
@@ -90,10 +135,10 @@ SELECT query_id, path, rank::INT AS rank, round(score, 6) AS score FROM r WHERE
 @query(_BM25.format(lib=D_LIB, words=D_WORDS.format("text")))
 def bm25_topk(spark, sf_dir):
     chunks = words.analyzed(library(spark, sf_dir).select("path", "body"), False)
-    p = words.postings(chunks, "path").select("term", "path", "tf")
-    lengths = chunks.select("path", F.size("terms.body").alias("len"))
     asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.words(F.col("text"))).alias("term"))
-    return words.bm25_many(p, lengths, asked, 10, "path").select("query_id", "path", "rank", F.round("score", 6).alias("score"))
+    p = words.asked_postings(chunks, asked.select("term").distinct(), "path")
+    figures = chunks.agg(F.count("*").alias("n"), F.avg(F.size("terms.body")).alias("avg"))
+    return words.bm25_many(p, figures, asked, 10, "path").select("query_id", "path", "rank", F.round("score", 6).alias("score"))
 
 
 _HAS = "list_has_all(terms, {0})"
@@ -109,22 +154,18 @@ def all_words(spark, sf_dir):
     return chunks.where(keep).select("doc_id")
 
 
-@query("WITH " + D_LIB + f" SELECT doc_id, round(len(list_intersect(list_distinct(terms), {_terms_sql(QUESTION)})) / {len(set(words.terms_of(QUESTION, False)))}, 6) AS share FROM lib WHERE list_has_any(terms, {_terms_sql(QUESTION)})")
+@query("WITH " + D_LIB + f" SELECT path, round(len(list_intersect(list_distinct(terms), {_terms_sql(QUESTION)})) / {len(set(words.terms_of(QUESTION, False)))}, 6) AS share FROM lib WHERE list_has_any(terms, {_terms_sql(QUESTION)})")
 def any_words_share(spark, sf_dir):
-    terms = F.array(*[F.lit(t) for t in sorted(set(words.terms_of(QUESTION, False)))])
-    held = F.size(F.array_intersect(F.array_distinct("t"), terms))
-    return library(spark, sf_dir).withColumn("t", X.words(F.col("body"))).where(held > 0).select("doc_id", F.round(held / F.size(terms), 6).alias("share"))
+    clauses = words.known_clauses(QUESTION, False)
+    counted = words.Counted(words.analyzed(library(spark, sf_dir).select("path", "line", "body"), False), clauses)
+    return counted.rows.where(words.matched(counted, clauses, False)).select("path", F.round(words.share(counted, words.terms_of(QUESTION, False)), 6).alias("share"))
 
 
-@query("WITH " + D_LIB + r""", d AS (SELECT word, (SELECT count(*) FROM lib WHERE list_contains(terms, word)) AS df FROM (SELECT unnest(string_split('""" + QUESTION + r"""', ' ')) AS word))
-SELECT word, df::BIGINT AS df, 2 * df > (SELECT count(*) FROM lib) AS common FROM d""")
+@query("WITH " + D_LIB + r""", d AS (SELECT word, 2 * (SELECT count(*) FROM lib WHERE list_contains(terms, word)) > (SELECT count(*) FROM lib) AS common FROM (SELECT unnest(string_split('""" + QUESTION + r"""', ' ')) AS word))
+SELECT word, NOT common OR (SELECT bool_and(common) FROM d) AS kept FROM d""")
 def distinctive_words(spark, sf_dir):
-    chunks = words.analyzed(library(spark, sf_dir).select("body"), False)
-    asked = QUESTION.split()
-    df = words.term_df(chunks)
-    n = chunks.agg(F.count("*").alias("n"))
-    w = spark.createDataFrame([(x,) for x in asked], "word string")
-    return w.join(df, F.col("word") == F.col("term"), "left").join(F.broadcast(n)).select("word", F.coalesce("df", F.lit(0)).cast("long").alias("df"), (2 * F.coalesce("df", F.lit(0)) > F.col("n")).alias("common"))
+    kept = words.distinctive(QUESTION, words.analyzed(library(spark, sf_dir).select("body"), False), False).split()
+    return spark.createDataFrame([(w, w in kept) for w in QUESTION.split()], "word string, kept boolean")
 
 
 @query("WITH " + D_LIB + " SELECT doc_id, len(regexp_extract_all(' ' || array_to_string(terms, ' ') || ' ', '(licensed under the) '))::INT AS n FROM lib WHERE contains(' ' || array_to_string(terms, ' ') || ' ', ' licensed under the ')")
@@ -134,25 +175,32 @@ def phrase_match(spark, sf_dir):
     return chunks.select("doc_id", words._in(F.col("terms.body"), clause).alias("n")).where("n > 0")
 
 
-@query("SELECT conv_id, turn, score FROM (SELECT conv_id, turn, length(text)::BIGINT AS score, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations) WHERE r = 1")
+@query("SELECT conv_id::VARCHAR AS path, turn AS line, score FROM (SELECT conv_id, turn, length(text)::DOUBLE AS score, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations) WHERE r = 1")
 def best_chunk_per_doc(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("score"))
-    return c.groupBy("conv_id").agg(F.max_by(F.struct("turn", "score"), F.struct("score", -F.col("turn"))).alias("b")).select("conv_id", "b.turn", "b.score")
+    c = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    scores = c.select("key", F.length("text").cast("double").alias("score"))
+    return knn.best_passages(scores, c.select("key", F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"))).select("path", "line", "score")
+
 
+#: Rows of each half in `rrf_fuse`, as each engine answers with its best only.
+DEPTH = 500
 
 _FUSE = f"""
-WITH w AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, (doc_id % 4 + 1) / 4.0::DOUBLE AS share, doc_id * 3600 + 1704067200 AS modified FROM documents WHERE lang = 'en'),
-m AS (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY n_chars, doc_id)::INT AS rank, doc_id * 3600 + 1704067200 AS modified FROM documents WHERE doc_id % 2 = 0),
+WITH w AS (SELECT path, rank, share, modified FROM (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, (doc_id % 4 + 1) / 4.0::DOUBLE AS share, doc_id * 3600 + 1704067200 AS modified FROM documents) WHERE rank <= {DEPTH}),
+m AS (SELECT path, rank, modified FROM (SELECT source || '/' || doc_id AS path, row_number() OVER (ORDER BY md5(text), doc_id)::INT AS rank, doc_id * 3600 + 1704067200 AS modified FROM documents) WHERE rank <= {DEPTH}),
 j AS (SELECT coalesce(w.path, m.path) AS path, w.rank AS words_rank, m.rank AS meaning_rank, coalesce(w.modified, m.modified) AS modified,
       coalesce(1.5 * w.share * w.share / (8 + w.rank), 0) + coalesce(1.0 / (8 + m.rank), 0) AS part FROM w FULL JOIN m ON w.path = m.path)
 SELECT path, words_rank, meaning_rank, round(part * (1 + 0.1 * pow(2.0, -greatest({NOW} - modified, 0) / 86400.0 / 30.0)), 6) AS score FROM j"""
 
 
 def _halves(spark, sf_dir):
+    """Two rankings of all documents, by length and by hash of the text; the best of each."""
     d = load(spark, sf_dir, "documents")
     path, modified = F.concat_ws("/", "source", "doc_id").alias("path"), (F.col("doc_id") * 3600 + 1704067200).alias("modified")
-    w = d.where("lang = 'en'").select(path, F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("n_chars").cast("double").alias("score"), ((F.col("doc_id") % 4 + 1) / 4.0).alias("share"), modified)
-    m = d.where("doc_id % 2 = 0").select(path, F.row_number().over(W.orderBy("n_chars", "doc_id")).alias("rank"), F.col("n_chars").cast("double").alias("score"), modified)
+    top = d.orderBy(F.desc("n_chars"), "doc_id").limit(DEPTH)
+    w = top.select(path, F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"), F.col("n_chars").cast("double").alias("score"), ((F.col("doc_id") % 4 + 1) / 4.0).alias("share"), modified)
+    top = d.select("*", F.md5("text").alias("h")).orderBy("h", "doc_id").limit(DEPTH)
+    m = top.select(path, F.row_number().over(W.orderBy("h", "doc_id")).alias("rank"), F.lit(0.0).alias("score"), modified)
     return w, m
 
 
@@ -255,14 +303,16 @@ def knn_join(spark, sf_dir):
 
 @query(f"""
 WITH v AS (SELECT vec_id, label, {D_UNIT.format('embedding')} AS u FROM embeddings),
-s AS (SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.u[i] * v.u[i])), 9) AS score FROM v, (SELECT u FROM v WHERE vec_id = 0) q)
-SELECT label::VARCHAR AS path, arg_max(vec_id, (score, -vec_id)) AS line, round(max(score), 6) AS score, row_number() OVER (ORDER BY max(score) DESC, label::VARCHAR)::INT AS rank FROM s GROUP BY label""")
+s AS (SELECT label, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.u[i] * v.u[i])), 9) AS score FROM v, (SELECT u FROM v WHERE vec_id = 0) q),
+b AS (SELECT label::VARCHAR AS path, arg_max(vec_id, (score, -vec_id)) AS line, max(score) AS score FROM s GROUP BY label)
+SELECT path, line, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, path)::INT AS rank FROM b) WHERE rank <= 10""")
 def best_passage_per_document(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings")
     q = F.array(*[F.lit(float(x)) for x in v.where("vec_id = 0").first()["embedding"]])
     scores = v.select(F.col("vec_id").alias("key"), F.round(V.dot(V.unit(q), V.unit(F.col("embedding"))), 9).alias("score"))
     places = v.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("path"), F.col("vec_id").alias("line"))
-    return knn.best_passages(scores, places).select("path", "line", F.round("score", 6).alias("score"), "rank")
+    rows = [(r["path"], r["line"], round(r["score"], 6), r["rank"]) for r in knn.nearest_documents(scores, places, 10)]
+    return spark.createDataFrame(rows, "path string, line long, score double, rank int")
 
 
 @query(f"SELECT vec_id, round(u[1], 6) AS x1, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm FROM (SELECT vec_id, {D_UNIT.format('list_transform(embedding, lambda e: e::DOUBLE * 3.0)')} AS u FROM embeddings)")
@@ -359,10 +409,19 @@ def history_reuse(spark, sf_dir):
     return got.select("id", "read")
 
 
-@query("SELECT DISTINCT false AS everything, event_type AS path FROM events")
+@query("SELECT DISTINCT false AS everything, path FROM (SELECT event_type AS path FROM events UNION SELECT 'u' || user_id FROM events)")
 def scope_union(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select(F.lit(False).alias("everything"), F.col("event_type").alias("path"))
-    return diff.union_scope(e, e)
+    e = load(spark, sf_dir, "events")
+    one = e.select(F.lit(False).alias("everything"), F.col("event_type").alias("path"))
+    return diff.union_scope(one, e.select(F.lit(False).alias("everything"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")))
+
+
+@query("SELECT DISTINCT true AS everything, NULL::VARCHAR AS path FROM events WHERE user_id % 7 = 0")
+def scope_everything(spark, sf_dir):
+    """A scope that says everything absorbs the rest."""
+    e = load(spark, sf_dir, "events")
+    one = e.select(F.lit(False).alias("everything"), F.col("event_type").alias("path"))
+    return diff.union_scope(one, e.select((F.col("user_id") % 7 == 0).alias("everything"), F.lit(None).cast("string").alias("path")))
 
 
 @query("SELECT sha256(text) AS key, count(*)::INT AS places, min(doc_id) AS first FROM documents WHERE text <> '' GROUP BY ALL")
@@ -423,11 +482,29 @@ def innermost_parent(spark, sf_dir):
     return links.innermost_parent(s).select("path", "id", "parent")
 
 
-@query("SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 20000 THEN 'too_large' WHEN contains(text, '|') THEN 'table' ELSE 'ok' END AS why, count(*)::BIGINT AS n FROM documents GROUP BY ALL")
+_STATE = """m AS (SELECT doc_id, source, text, CASE WHEN doc_id % 11 = 3 THEN 'windows-1251' END AS guessed FROM documents WHERE length(text) BETWEEN 1 AND 20000),
+s AS (SELECT source, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' ELSE 'too large' END AS why FROM documents WHERE NOT coalesce(length(text) BETWEEN 1 AND 20000, false)),
+h AS (SELECT source, why FROM s UNION ALL SELECT source, 'textless' FROM m WHERE length(text) < 40 UNION ALL SELECT source, 'guessed ' || guessed FROM m WHERE guessed IS NOT NULL)"""
+
+
+def _state(spark, sf_dir):
+    """Manifest and skipped files as a library would have them of `documents`, each source but the first registered."""
+    d = load(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
+    good = F.coalesce(F.length("text").between(1, 20000), F.lit(False))
+    m = d.where(good).select("path", "source", (F.length("text") < 40).alias("textless"), F.when(F.col("doc_id") % 11 == 3, "windows-1251").alias("guessed"), F.ceil(F.length("text") / 1500).alias("chunks"))
+    skipped = d.where(~good).select("path", "source", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty").otherwise("too large").alias("why"))
+    sources = d.select(F.col("source").alias("path")).distinct()
+    return m, skipped, sources.join(sources.agg(F.min("path").alias("path")), "path", "left_anti")
+
+
+@query(f"WITH {_STATE} SELECT why, count(*)::BIGINT AS n FROM h WHERE source <> (SELECT min(source) FROM documents) GROUP BY why")
 def health_counts(spark, sf_dir):
-    n = F.length("text")
-    why = F.when(n == 0, "empty").when(n > 20000, "too_large").when(F.contains("text", F.lit("|")), "table").otherwise("ok")
-    return load(spark, sf_dir, "documents").groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+    return health.counts(health.unread(*_state(spark, sf_dir)))
+
+
+@query(f"WITH {_STATE} SELECT guessed AS encoding, count(*)::BIGINT AS n FROM m WHERE guessed IS NOT NULL GROUP BY guessed")
+def guessed_encodings(spark, sf_dir):
+    return health.guessed_encodings(_state(spark, sf_dir)[0])
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 240 THEN rtrim(left(text, 240), ' ') || '…' ELSE text END AS fragment FROM documents")
@@ -435,9 +512,9 @@ def opening_fragment(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.opening_fragment(F.col("text")).alias("fragment"))
 
 
-@query("SELECT doc_id, bucket, floor((row_number() OVER (PARTITION BY bucket ORDER BY length(text), doc_id) - 1) / 256)::BIGINT AS \"window\" FROM (SELECT *, floor(log2(greatest(length(text), 1)))::INT AS bucket FROM documents)")
+@query("""SELECT doc_id, bucket, floor((row_number() OVER (PARTITION BY bucket, part ORDER BY n, doc_id) - 1) / 256)::BIGINT AS "window" FROM (SELECT doc_id, greatest(length(text), 1) AS n, floor(16 * log2(greatest(length(text), 1)))::INT AS bucket, doc_id % 8 AS part FROM documents)""")
 def length_windows(spark, sf_dir):
-    return passages.length_windows(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "bucket", "window")
+    return passages.length_windows(load(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id", part=F.col("doc_id")).select("doc_id", "bucket", "window")
 
 
 @query(r"SELECT page_id, lower(trim(regexp_replace(list_last(string_split(url, '/')), '(\.md|\.MD)$', ''))) AS key FROM pages")
@@ -479,19 +556,17 @@ def offered_files(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", files.offered(F.col("url")).alias("offered"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'image' ELSE 'text' END AS format FROM events")
+@query("""SELECT event_id, ['pdf', 'zip', 'image', 'image', 'other', 'image', 'other', 'image', 'text', 'text', 'image', 'ole'][event_id % 12 + 1] AS format FROM events""")
 def sniff_formats(spark, sf_dir):
-    i = F.col("event_id") % 4
-    head = F.when(i == 0, F.unhex(F.lit("255044462D312E37"))).when(i == 1, F.unhex(F.lit("504B030414"))).when(i == 2, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode("event_type", "UTF-8"))
-    return load(spark, sf_dir, "events").select("event_id", files.sniff(head)["format"].alias("format"))
+    """One head of each sort: PDF, ZIP, PNG, WebP, another RIFF, HEIF, another ISO medium, BMP, a text that begins like one, plain text, JPEG, an OLE container."""
+    heads = ["255044462D312E37", "504B030414", "89504E470D0A1A0A00", "524946460000000057454250", "524946460000000057415645", "0000001866747970686569630000", "000000186674797069736F6D0000", "424D" + "00" * 12 + "28000000", "424D57206973206120636172", "616263", "FFD8FFE000", "D0CF11E0A1B11AE1"]
+    return load(spark, sf_dir, "events").select("event_id", files.sniff(F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("event_id") % 12).cast("int"))))["format"].alias("format"))
 
 
-@query("SELECT user_id, count(*)::BIGINT AS n FROM events WHERE contains(lower(event_type || ' ' || props), 'click') AND starts_with('src/' || user_id, 'src/1') GROUP BY user_id")
+@query("SELECT user_id, count(*)::BIGINT AS n FROM events WHERE contains(lower(event_type || ' ' || props), 'click') AND user_id % 10 = 1 GROUP BY user_id")
 def history_filters(spark, sf_dir):
-    from ..sources.git import matching
-
-    e = load(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("summary"), F.col("props").alias("body"), F.array(F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit("/f"))).alias("paths"))
-    return matching(e, "CLICK").where(F.exists("paths", lambda p: p.startswith("src/1"))).groupBy("user_id").agg(F.count("*").alias("n"))
+    e = load(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("summary"), F.col("props").alias("body"), F.array(F.concat(F.lit("src/"), (F.col("user_id") % 10).cast("string"), F.lit("/f"), F.col("user_id").cast("string")), F.lit("README")).alias("paths"))
+    return git.matching(e, "CLICK", "src/1/").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN v >= 1048576 THEN floor(v / 1048576.0 + 0.5)::BIGINT || ' MB' WHEN v >= 1024 THEN floor(v / 1024.0 + 0.5)::BIGINT || ' KB' ELSE v || ' B' END AS size FROM (SELECT event_id, (event_id * 37)::BIGINT AS v FROM events)")
@@ -509,19 +584,12 @@ def line_of_offset(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.line_of_offset(F.col("text"), F.lit(300)).alias("line"))
 
 
-@query("SELECT source, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+@query(f"WITH {_STATE} SELECT source, count(*)::BIGINT AS documents, sum(ceil(length(text) / 1500))::BIGINT AS chunks FROM m GROUP BY source")
 def library_status(spark, sf_dir):
-    return load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+    return health.status(_state(spark, sf_dir)[0], ("source",))
 
 
-@query("""SELECT n_name, r_name, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
-def joined_totals(spark, sf_dir):
-    o, c, n, r = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)  # 25 and 5 rows at every scale
-    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-# Not to be said in SQL: tests hold these against brute force or golden values.
+# Not to be said in SQL: tests/test_whole.py holds each of these against brute force, whole.
 
 
 @query()
@@ -537,8 +605,7 @@ def html_pages(spark, sf_dir):
 
 @query()
 def stemmed_search(spark, sf_dir):
-    chunks = words.analyzed(library(spark, sf_dir).select("path", "title", "body", "line"))
-    return words.search(chunks, QUESTION, 10)[0].select("path", "rank", F.round("score", 6).alias("score"), "share")
+    return found_words(stored(spark, sf_dir), QUESTION, 10).select("path", "rank", F.round("score", 6).alias("score"), "share")
 
 
 @query()
@@ -588,12 +655,40 @@ def code_symbols(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """The flagship: words and meaning over all documents, fused into one list."""
-    chunks = words.analyzed(library(spark, sf_dir).withColumn("modified", F.lit(NOW) - F.col("doc_id") % 90 * 86400).withColumn("headings", F.array().cast("array<string>")).select("path", "title", "body", "line", "modified", "headings"))
-    w, _ = words.search(chunks, QUESTION, fusion.candidates(10))
-    frag = X.opening_fragment(F.col("body")).alias("fragment")
-    w = w.select("path", "rank", "score", "share", "title", "headings", "line", "modified", frag)
-    q = passages.word_hash_embedding(F.lit(QUESTION))
-    scored = chunks.select("path", "title", "headings", "line", "modified", frag, V.dot(q, passages.word_hash_embedding(F.col("body"))).alias("score"))
-    top = scored.orderBy(F.desc("score"), "path").limit(fusion.candidates(10))
-    m = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
-    return fusion.mark_across(fusion.fuse(w, m, NOW, 10), QUESTION).select("path", F.round("score", 6).alias("score"), "words_rank", "meaning_rank", F.round("share", 6).alias("share"), "across", "line", "fragment")
+    return _hybrid(stored(spark, sf_dir), QUESTION).select("path", F.round("score", 6).alias("score"), "words_rank", "meaning_rank", F.round("share", 6).alias("share"), "across", "line", "fragment")
+
+
+def _hybrid(store: Store, question: str, stemmed: bool = True) -> DataFrame:
+    depth, fragment = fusion.candidates(10), X.opening_fragment(F.col("body")).alias("fragment")
+    kept = ["path", "rank", "score", "title", "headings", "line", "modified", fragment]
+    return fusion.mark_across(fusion.fuse(found_words(store, question, depth, stemmed).select(*kept, "share"), found_meaning(store, question, depth).select(*kept), NOW, 10), question)
+
+
+_Q_TERMS = _terms_sql(QUESTION)
+_HYBRID = f"""
+WITH {D_LIB}, f AS (SELECT path, 'body' AS field, 1.0 AS boost, terms AS t FROM lib UNION ALL SELECT path, 'title', 3.0, {D_WORDS.format('title')} FROM lib),
+q AS (SELECT unnest({_Q_TERMS}) AS term), n AS (SELECT count(*)::DOUBLE AS n FROM lib), avgs AS (SELECT field, avg(len(t)) AS avg FROM f GROUP BY field),
+tf AS (SELECT path, field, boost, term, len(t)::DOUBLE AS len, len(list_filter(t, lambda x: x = term))::DOUBLE AS tf FROM f, q WHERE list_contains(t, term)),
+df AS (SELECT field, term, count(*)::DOUBLE AS df FROM tf GROUP BY ALL),
+held AS (SELECT path, count(DISTINCT term) AS held FROM tf GROUP BY path), together AS (SELECT coalesce(max(held), 0) = {len(set(words.terms_of(QUESTION, False)))} AS yes FROM held),
+rare AS (SELECT term FROM q WHERE 2 * coalesce((SELECT df FROM df WHERE df.term = q.term AND field = 'body'), 0) <= (SELECT n FROM n)),
+used AS (SELECT term FROM q WHERE (SELECT yes FROM together) OR term IN (SELECT term FROM rare) OR (SELECT count(*) FROM rare) = 0),
+s AS (SELECT path, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score, count(DISTINCT term) AS held
+      FROM tf JOIN used USING (term) JOIN df USING (field, term) JOIN avgs USING (field), n GROUP BY path),
+w AS (SELECT path, held / (SELECT count(*) FROM used)::DOUBLE AS share, row_number() OVER (ORDER BY round(score, 9) DESC, path)::INT AS rank FROM s WHERE NOT (SELECT yes FROM together) OR held = (SELECT count(*) FROM used)),
+h AS (SELECT path, list_transform(terms, lambda x: ('0x' || left(md5(x), 2))::INT % 64) AS s FROM lib),
+c AS (SELECT path, list_transform(range(64), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS c FROM h),
+qs AS (SELECT list_transform({D_WORDS.format("'" + QUESTION + "'")}, lambda x: ('0x' || left(md5(x), 2))::INT % 64) AS s),
+qc AS (SELECT list_transform(range(64), lambda i: len(list_filter(s, lambda x: x = i))::DOUBLE) AS q FROM qs),
+d AS (SELECT path, round(coalesce(list_sum(list_transform(range(1, 65), lambda i: (c[i] / greatest(sqrt(list_sum(list_transform(c, lambda x: x * x))), 1e-300)) * (q[i] / sqrt(list_sum(list_transform(q, lambda x: x * x)))))), 0), 9) AS score FROM c, qc),
+m AS (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INT AS rank FROM d),
+w30 AS (SELECT * FROM w WHERE rank <= 30), m30 AS (SELECT * FROM m WHERE rank <= 30),
+j AS (SELECT coalesce(w30.path, m30.path) AS path, w30.rank AS words_rank, m30.rank AS meaning_rank, w30.share AS share, coalesce(1.5 * share * share / (8 + w30.rank), 0) + coalesce(1.0 / (8 + m30.rank), 0) AS part FROM w30 FULL JOIN m30 ON w30.path = m30.path),
+r AS (SELECT j.*, part * (1 + 0.1 * pow(2.0, -(doc_id % 90 * 86400) / 86400.0 / 30.0)) AS score FROM j JOIN lib USING (path))
+SELECT path, round(score, 6) AS score, words_rank, meaning_rank, round(share, 6) AS share FROM r ORDER BY r.score DESC, path LIMIT 10"""
+
+
+@query(_HYBRID)
+def hybrid_plain(spark, sf_dir):
+    """The same list over unstemmed terms, which SQL can say whole."""
+    return _hybrid(stored(spark, sf_dir, False), QUESTION, False).select("path", F.round("score", 6).alias("score"), "words_rank", "meaning_rank", F.round("share", 6).alias("share"))

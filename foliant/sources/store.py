@@ -10,6 +10,8 @@ Spark's file systems.
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import time
 import uuid
 
@@ -17,6 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir; a local one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "foliant-shared")
+    return base.rstrip("/") + "/foliant-engine"
+
+
 class Stale(RuntimeError):
     """Written in another format: build it anew."""
 

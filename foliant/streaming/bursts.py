@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUIET_MS, LONGEST_MS, CATCH_UP_S = 500, 5000, 120
 
@@ -35,26 +37,33 @@ def sessions(events: DataFrame, gap_ms: int = QUIET_MS, by: tuple[str, ...] = ()
 def capped_bursts(events: DataFrame, gap_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS, by: str = "source") -> DataFrame:
     """Batch form with the hard cap: bursts close after a quiet time, and after `longest_ms` from their first event.
 
-    A quiet time cuts first; inside such a run the cap is a fold from left to right.
+    A quiet time cuts first; inside such a run the cap is a pass from left to right.
     """
     order = W.partitionBy(by).orderBy("ts")
     ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
     timed = events.withColumn("ms", ms)
     timed = timed.withColumn("new", F.coalesce((F.col("ms") - F.lag("ms").over(order) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    # a run is dealt out by itself, so a source that never rests long is not one task's work
     runs = timed.groupBy(by, "run").agg(F.array_sort(F.collect_list("ms")).alias("all"))
-
-    def step(acc, x):
-        fresh = x - F.element_at(acc, -1)["first"] >= longest_ms
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), x.alias("last"), (last["n"] + 1).alias("n"))))
-        return F.when(fresh, F.concat(acc, F.array(F.struct(x.alias("first"), x.alias("last"), F.lit(1).alias("n"))))).otherwise(grown)
-
-    start = F.array(F.struct(F.get("all", F.lit(0)).alias("first"), F.get("all", F.lit(0)).alias("last"), F.lit(0).alias("n")))
-    bursts = F.explode(F.aggregate("all", start, step)).alias("b")
+    bursts = F.explode(_capped("all", F.lit(longest_ms))).alias("b")
     at = lambda c: F.timestamp_micros((c * 1000).cast("long"))
     return runs.select(by, bursts).select(by, at(F.col("b.first")).alias("start"), at(F.col("b.last")).alias("end"), "b.n")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("first", "double").add("last", "double").add("n", "integer")))
+def _capped(runs: pd.Series, longest: pd.Series) -> pd.Series:
+    """Each run of times in order cut greedily: a burst ends before the first event that is `longest` or more after its first."""
+    out = []
+    for at, cap in zip(runs, longest):
+        at, i, cuts = np.asarray(at, float), 0, []
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(at, at[i] + cap)))
+            cuts.append({"first": at[i], "last": at[j - 1], "n": j - i})
+            i = j
+        out.append(cuts)
+    return pd.Series(out)
+
+
 def streaming_bursts(events: DataFrame, gap_ms: int = QUIET_MS, longest_ms: int = LONGEST_MS) -> DataFrame:
     """events(source, path, everything) as a stream -> source, everything, paths once a burst is over.
 
