@@ -11,15 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import code, links
+from .operators import code, fusion, links
 from .plans.evaluation import evaluate_set
 from .plans.library import Library
-from .sources import git, models
-from .sources.store import Store
-
-#: Rows of one list at most, as in the search window.
-MOST = 50
-
+from .sources import decode, files, git, markup, models
+from .sources.store import Stale, Store
 
 def show(df: DataFrame) -> None:
     for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
@@ -27,7 +23,7 @@ def show(df: DataFrame) -> None:
 
 
 def find(lib: Library, a) -> None:
-    limit = max(0, min(a.limit, MOST))
+    limit = fusion.shown_results(a.limit)
     if a.words:
         found, every = lib.search_words(a.query, limit)
         label = X.found_by(F.col("rank"), F.lit(every), F.lit(None).cast("double"), F.lit(False))
@@ -57,8 +53,8 @@ def model(spark: SparkSession, a) -> None:
     if a.action == "verify":
         print("true" if models.verify(a.path, a.sha256) else "false")
     else:
-        rows = [(m.name, m.dims, m.pooling, m.max_tokens, m.recipe) for m in models.MODELS.values()]
-        show(spark.createDataFrame(rows, "name string, dims int, pooling string, max_tokens int, recipe string"))
+        rows = [(m.name, m.repository, m.revision, m.license, m.dims, m.pooling, m.max_tokens, m.recipe) for m in models.MODELS.values()]
+        show(spark.createDataFrame(rows, "name string, repository string, revision string, license string, dims int, pooling string, max_tokens int, recipe string"))
 
 
 def repo(spark: SparkSession, a) -> None:
@@ -70,7 +66,11 @@ def repo(spark: SparkSession, a) -> None:
         return show(found.orderBy("nth").drop("nth"))
     store = Store(spark, f"file://{os.path.join(root, '.foliant')}")
     if a.action == "index":
-        written = store.write("code", code.index_files(git.work_tree(spark, root)), revision=git.head(root))
+        try:
+            before = store.read("code")
+        except Stale:
+            before = None
+        written = store.write("code", code.reindex(git.work_tree(spark, root), before), revision=git.head(root))
         rows = store.read("code").agg(F.count("*").alias("files"), F.sum(F.size("symbols")).alias("symbols"))
         return show(rows.withColumn("written", F.lit(written)))
     indexed = store.read("code")
@@ -86,6 +86,19 @@ def repo(spark: SparkSession, a) -> None:
         show((rows.where(F.col("path").startswith(a.under)) if a.under else rows).orderBy("path"))
 
 
+def passage_of(spark: SparkSession, path: str) -> str:
+    """The opening chunk of a file, in the form in which passages are embedded."""
+    rows = files.scan(spark, os.path.dirname(path), within=[os.path.basename(path)])
+    kind = files.kind_of(F.col("path"), files.sniff(F.col("content"))["format"])
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    text = F.when(kind.isin("text", "markdown"), decode.decoded(F.col("content"))["text"])
+    first = rows.withColumn("d", markup.read_udf(stem, kind, text, F.col("content"))).where("size(d.chunks) > 0").select("d.title", F.get("d.chunks", F.lit(0)).alias("c"))
+    row = first.select(X.embedding_passage(F.col("title"), F.col("c.headings"), F.col("c.text")).alias("p")).first()
+    if row is None:
+        raise SystemExit(f"{path} holds no text")
+    return row["p"]
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="foliant", description=__doc__)
     p.add_argument("--library", default=os.environ.get("FOLIANT_LIBRARY", os.path.expanduser("~/.foliant")), help="folder of the library's tables")
@@ -136,7 +149,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         return repo(spark, a)
     lib = Library(spark, a.library if ":/" in a.library else f"file://{os.path.abspath(a.library)}")
     if a.command == "similar":
-        show(lib.similar(os.path.abspath(a.path), min(a.limit, MOST)).orderBy(F.desc("score"), "path"))
+        # "-" is a passage from stdin; a file outside the library is read as the library would read it
+        known = a.path != "-" and lib.chunks([os.path.abspath(a.path)]).limit(1).count()
+        passage = None if known else sys.stdin.read() if a.path == "-" else passage_of(spark, os.path.abspath(a.path))
+        show(lib.similar(os.path.abspath(a.path) if known else None, fusion.shown_results(a.limit), passage=passage).orderBy(F.desc("score"), "path"))
     elif a.command == "preview":
         show(lib.preview(os.path.abspath(a.path), a.line))
     elif a.command == "eval":

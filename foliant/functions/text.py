@@ -95,7 +95,46 @@ def is_passage(text: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n >= 1 << 30, F.format_string("%.1f GB", n / (1 << 30))).when(n >= 1 << 20, F.format_string("%.0f MB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%.0f KB", n / (1 << 10))).otherwise(F.format_string("%d B", n.cast("long")))
+    """Decimal units: whole KB rounded up, whole MB, GB with one digit."""
+    mb = n / 1_000_000.0
+    return F.when(mb >= 1000, F.format_string("%.1f GB", mb / 1000.0)).when(mb >= 1, F.format_string("%d MB", F.bround(mb, 0).cast("long"))).otherwise(F.format_string("%d KB", F.ceil(n / 1000.0).cast("long")))
+
+
+def human_duration(seconds: Column) -> Column:
+    """Whole seconds under a minute, minutes rounded up under an hour, then hours and minutes."""
+    s = F.round(seconds, 0).cast("long")
+    hours = F.format_string("%d h %d min", F.floor(s / 3600), F.floor(s % 3600 / 60))
+    return F.when(s < 60, F.format_string("%d s", s)).when(s < 3600, F.format_string("%d min", F.ceil(s / 60))).otherwise(hours)
+
+
+#: How comments begin that speak to a tool and describe nothing.
+DIRECTIVES = (
+    "@", "go:", "+build", "eslint", "prettier", "biome-ignore", "oxlint", "stylelint", "jshint", "jslint", "global ",
+    "type: ignore", "mypy:", "pyright:", "ruff:", "noqa", "-*-", "!/",
+)
+LONE_URL = r"^https?://\S*$"
+
+
+def is_directive(comment: Column) -> Column:
+    """A comment addressed to a tool, or a lone URL, as against a description."""
+    text = F.trim(comment)
+    heads = F.exists(F.array(*map(F.lit, DIRECTIVES)), lambda d: text.startswith(d))
+    return heads | text.rlike(LONE_URL)
+
+
+def clean_letters(text: Column) -> Column:
+    """Letters of a reading in words that look like words: no digit, all letters of one alphabet, that in which most such letters are.
+
+    Alphabets are told apart as Cyrillic, Latin and other.
+    """
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1)), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    plain = F.filter(tokens, lambda t: ~t.rlike(r"\p{N}"))
+    letters = F.transform(plain, lambda t: F.regexp_replace(t, r"\P{L}", ""))
+
+    def total(pattern: str) -> Column:
+        return F.aggregate(F.filter(letters, lambda t: t.rlike(pattern)), F.lit(0), lambda n, t: n + F.length(t))
+
+    return F.greatest(total(r"^\p{IsLatin}+$"), total(r"^\p{IsCyrillic}+$"), total(r"^[^\p{IsLatin}\p{IsCyrillic}]+$"))
 
 
 def line_of_offset(text: Column, at: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +56,26 @@ def measure(pairs: DataFrame, dims: int, n: int = AXES) -> list[list[float]]:
     return leading(moments(pairs.select(F.zip_with("a", "b", lambda x, y: x.cast("double") - y.cast("double")).alias("d")), "d", dims), n)
 
 
+def parallel_set(spark, path: str) -> DataFrame:
+    """nth, en, ru of {"pairs": [{"en", "ru"}]}; a set without pairs is refused."""
+    rows = spark.read.schema("pairs array<struct<en:string,ru:string>>").option("multiLine", True).json(path).select(F.posexplode("pairs").alias("nth", "p")).select("nth", "p.*")
+    if not rows.limit(1).count():
+        raise ValueError("the parallel set has no pairs")
+    return rows
+
+
+def set_identity(pairs: DataFrame) -> DataFrame:
+    """One row, hash: what names a set of pairs (nth, en, ru) is its texts in order, each with its length in bytes, not its file."""
+    sized = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.col(c))
+    each = F.array_sort(F.collect_list(F.struct("nth", F.concat(sized("en"), sized("ru")).alias("t"))))  # a set is written by people
+    return pairs.agg(F.sha2(F.array_join(F.transform(each, lambda x: x["t"]), ""), 256).alias("hash"))
+
+
+def space_identity(axes: list[list[float]]) -> str:
+    """What names the space that vectors are compared in once these axes are removed."""
+    return hashlib.sha256(np.array(axes, "<f8").tobytes()).hexdigest()
+
+
 def neutral(vec: Column, axes: list[list[float]]) -> Column:
     """vec less each axis in turn, at unit length."""
     for axis in axes:

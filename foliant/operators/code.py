@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "pyi": "python", "go": "go"}
 SPECIFIC = {"constant": 0, "function": 1, "module": 2, "type": 3}
 SYMBOL = T.StructType().add("name", "string").add("kind", "string").add("start", "long").add("end", "long").add("line", "long").add("parent", "string").add("signature", "string").add("doc", "string").add("public", "boolean").add("cfg", "string")
@@ -169,6 +171,11 @@ def _doc_before(lines: list[str], row: int, language: str) -> tuple[str | None,
     return (_dedent(text) or None), attrs[::-1]
 
 
+def directive(comment: str) -> bool:
+    """A comment addressed to a tool, or a lone URL."""
+    return comment.strip().startswith(X.DIRECTIVES) or re.match(X.LONE_URL, comment.strip()) is not None
+
+
 def _requires_test(predicate: str) -> bool:
     predicate = predicate.strip()
     if predicate == "test":
@@ -232,7 +239,8 @@ def _braces(source: str, language: str) -> dict:
     header = None
     top = re.match(r"(?:\s*//!.*\n?)+" if language == "rust" else r"\s*(?:/\*\*.*?\*/|(?://.*\n)+)", source, re.S if language != "rust" else 0)
     if top:
-        header = _dedent(re.sub(r"(?m)^\s*(//!?|/\*+|\*+/|\*)\s?|\s*\*/", "", top[0]).strip()) or None
+        said = _dedent(re.sub(r"(?m)^\s*(//!?|/\*+|\*+/|\*)\s?|\s*\*/", "", top[0]).strip())
+        header = "\n".join(x for x in said.split("\n") if not directive(x)).strip() or None
     return {"symbols": symbols, "imports": _brace_imports(source, code, language), "header": header}
 
 
@@ -273,6 +281,38 @@ def index_files(files: DataFrame) -> DataFrame:
     return rows.withColumn("f", read_source_udf("language", "text")).select("path", "language", F.sha2("text", 256).alias("hash"), "f.*")
 
 
+def reindex(files: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """index_files(files), where files whose text has the hash that is stored are taken over and only the others are parsed."""
+    if stored is None:
+        return index_files(files)
+    rows = files.withColumn("language", language_of(F.col("path"))).where("language is not null").withColumn("hash", F.sha2("text", 256))
+    kept = stored.join(rows.select("path", "hash"), ["path", "hash"], "left_semi").select("path", "language", "hash", *FILE.names)
+    fresh = rows.join(stored.select("path", "hash"), ["path", "hash"], "left_anti")
+    return kept.unionByName(index_files(fresh.select("path", "text")))
+
+
+def described(summaries: DataFrame, cache: DataFrame | None) -> DataFrame:
+    """summaries(path, hash, text) with `prose` from cache(hash, prose), null where it must be asked for. Equal bytes are one module wherever they lie."""
+    if cache is None:
+        return summaries.withColumn("prose", F.lit(None).cast("string"))
+    return summaries.join(cache.select("hash", "prose").dropDuplicates(["hash"]), "hash", "left")
+
+
+def describe(summaries: DataFrame, store, generate, table: str = "prose") -> tuple[DataFrame, dict]:
+    """summaries with prose for all, and what it took: cached, asked, cost. generate(text) -> (prose, cost or None) is an outside service, asked once
+    for each new content hash; each answer is stored before the next one is asked for, as it may have been paid for."""
+    spark = summaries.sparkSession
+    before = described(summaries, store.read(table))
+    todo = before.where("prose is null").groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash")
+    spent = {"cached": before.where("prose is not null").count(), "asked": 0, "cost": 0.0}
+    for row in todo.toLocalIterator():
+        prose, cost = generate(row["text"])
+        store.add(table, spark.createDataFrame([(row["hash"], prose)], "hash string, prose string"))
+        spent["asked"] += 1
+        spent["cost"] += cost or 0.0
+    return described(summaries, store.read(table)), spent
+
+
 def symbols(index: DataFrame, name: str | None = None, kind: str | None = None, under: str | None = None) -> DataFrame:
     """Symbols in order of place; name by part without case, `under` by plain prefix of the path."""
     rows = index.select("path", F.explode("symbols").alias("s")).select("path", "s.*")
@@ -291,7 +331,7 @@ def summaries(index: DataFrame, everything: bool = False) -> DataFrame:
     """path, header, entries, symbols, public, text: the public declarations of each module as one text."""
     shown = F.filter("symbols", lambda s: s["public"])
     text = F.concat_ws("\n", "path", "header", F.array_join(F.transform(shown, lambda s: F.concat_ws(" - ", s["signature"], s["doc"])), "\n"))
-    return index.select("path", "header", (F.col("symbols") if everything else shown).alias("entries"), F.size("symbols").alias("symbols"), F.size(shown).alias("public"), text.alias("text"))
+    return index.select("path", "hash", "header", (F.col("symbols") if everything else shown).alias("entries"), F.size("symbols").alias("symbols"), F.size(shown).alias("public"), text.alias("text"))
 
 
 def fold_declarations(symbols: DataFrame) -> DataFrame:

@@ -24,11 +24,19 @@ def symmetric_difference(parent: DataFrame, child: DataFrame) -> DataFrame:
     return change_diff(parent, child, "path", "oid").where("change != 'unchanged'").select("path")
 
 
-def to_read(manifest: DataFrame, walked: DataFrame) -> DataFrame:
-    """walked files with `kept`: unchanged by size, time, source and reader, so need not be opened."""
-    known = manifest.select("path", F.col("size").alias("m_size"), F.col("modified").alias("m_modified"), F.col("source").alias("m_source"), F.col("reader").alias("m_reader"))
+def to_read(manifest: DataFrame, walked: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """walked files with `kept`: unchanged by size, time, source and reader, so need not be opened.
+
+    refused(path, size, modified, source, reader, why): a file that was refused as it is now stays so, unless it could only not be opened.
+    """
+    cols = ["path", "size", "modified", "source", "reader"]
+    known = manifest.select(*cols)
+    if refused is not None:
+        known = known.unionByName(refused.where("why != 'unopened'").select(*cols))
+    known = known.select("path", *[F.col(c).alias(f"m_{c}") for c in cols[1:]])
     same = (F.col("size") == F.col("m_size")) & (F.col("modified") == F.col("m_modified")) & (F.col("source") == F.col("m_source")) & F.col("reader").eqNullSafe(F.col("m_reader"))
-    return walked.join(known, "path", "left").withColumn("kept", F.coalesce(same, F.lit(False))).drop("m_size", "m_modified", "m_source", "m_reader")
+    kept = known.join(walked, "path").where(same).select("path").distinct().withColumn("kept", F.lit(True))
+    return walked.join(kept, "path", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def removed(manifest: DataFrame, walked: DataFrame) -> DataFrame:
@@ -56,3 +64,9 @@ def upsert(table: DataFrame, rows: DataFrame, removed: DataFrame | None = None,
     """table with all rows of the changed keys replaced and those of removed keys gone."""
     gone = rows.select(key) if removed is None else rows.select(key).unionByName(removed.select(key))
     return table.join(gone.distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def covers(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """One row: whether what is stored of one revision (id, dirty) stands for another: the same commit, and neither tree has edits."""
+    a, b = stored.select(F.col("id").alias("a"), F.col("dirty").alias("da")), now.select(F.col("id").alias("b"), F.col("dirty").alias("db"))
+    return a.join(b, F.col("a") == F.col("b")).agg((F.count_if(~F.col("da") & ~F.col("db")) > 0).alias("covers"))

@@ -129,3 +129,31 @@ def closest_sentence(scored: DataFrame, *keys: str) -> DataFrame:
 
 def wants_why(meaning_rank: Column, highlights: Column, closest: Column) -> Column:
     return meaning_rank.isNotNull() & (F.size(F.coalesce(highlights, F.array())) == 0) & closest.isNull()
+
+
+def utf16_ranges(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """UTF-8 byte ranges as UTF-16 ranges, in order; one that doesn't fall on characters' edges is dropped."""
+    at, total, units = {0: 0}, 0, 0
+    for c in text:
+        total += _bytes(c)
+        units += 2 if ord(c) > 0xFFFF else 1
+        at[total] = units
+    return sorted((at[a], at[b]) for a, b in ranges if a in at and b in at and at[a] < at[b])
+
+
+def ordered_marks(marks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Marks (start, end, kind) by start, the longer first, without those that begin inside the one before."""
+    out: list[tuple[int, int, str]] = []
+    for m in sorted(marks, key=lambda m: (m[0], -m[1])):
+        if m[0] < m[1] and (not out or m[0] >= out[-1][1]):
+            out.append(m)
+    return out
+
+
+def split_highlights(fragment: str, ranges: list[tuple[int, int]]) -> list[tuple[str, bool]]:
+    """The pieces of a fragment in order, and whether each is marked; ranges in UTF-8 bytes."""
+    data, out, at = fragment.encode(), [], 0
+    for a, b, _ in ordered_marks([(a, b, "word") for a, b in ranges if b <= len(data)]):
+        out += [(data[at:a], False), (data[a:b], True)]
+        at = b
+    return [(piece.decode("utf-8", "replace"), marked) for piece, marked in [*out, (data[at:], False)] if piece]

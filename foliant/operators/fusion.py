@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 RANK_K, WORDS_WEIGHT, LEAST_CANDIDATES = 8, 1.5, 30
+#: Rows of a list and chunks around a place that a window shows at most.
+MOST_RESULTS, MOST_AROUND = 50, 60
+
+
+def shown_results(asked: int) -> int:
+    return max(0, min(asked, MOST_RESULTS))
+
+
+def shown_around(asked: int) -> int:
+    return max(0, min(asked, MOST_AROUND))
 
 
 def candidates(limit: int) -> int:

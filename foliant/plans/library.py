@@ -108,8 +108,8 @@ class Library:
                 gone.append(path)
                 continue
             within = None if scope is None else [os.path.relpath(p, path) for p in scope if (p + "/").startswith(path + "/")]
-            if within is not None and any(os.path.basename(p) in files.RULE_FILES for p in within):
-                within = None  # a changed rule may let other files in or out
+            if within is not None:  # a changed rule may let other files of its folder in or out
+                within = [os.path.dirname(p) or "." if os.path.basename(p) in files.RULE_FILES else p for p in within]
             if within is not None and not within:
                 continue
             there = None if within is None else [p for p in within if os.path.exists(os.path.join(path, p))]
@@ -120,7 +120,8 @@ class Library:
         empty = "path string, rel string, modified long, size long, content binary, source string, kind string, reader string"
         walked = walked if walked is not None else self.spark.createDataFrame([], empty)
         old = manifest if manifest is not None else self.spark.createDataFrame([], MANIFEST)
-        seen = diff.to_read(old, walked)
+        known = self.store.read("skipped")
+        seen = diff.to_read(old, walked, known)
         fresh = seen.where(~F.col("kept") & files.within_limit(F.col("kind"), F.col("size")) & ~files.encrypted_package(F.when(F.hex(F.substring("content", 1, 8)) == "D0CF11E0A1B11AE1", F.col("content"))).eqNullSafe(True))
         d = decode.decoded(F.when(F.col("kind").isin("text", "markdown"), F.col("content")))
         stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
@@ -146,9 +147,9 @@ class Library:
         if not report.no_op or manifest is None:
             self._commit(old, good, entries, lost, report)
         skipped = got.where("error is not null").select("path", "source", "size", "modified", F.col("error").alias("why"), "reader")
-        known = self.store.read("skipped")
-        if known is not None:  # files that this update didn't look at stay as they are
-            skipped = skipped.unionByName(known.join(walked.select("path"), "path", "left_anti").where(F.col("source").isin(*current) & ~looked if current else F.lit(False)))
+        if known is not None:  # files that were not read again stay refused while they are there
+            there = known.join(walked.select("path"), "path", "left_semi").unionByName(known.where(F.col("source").isin(*current) & ~looked if current else F.lit(False))).distinct()
+            skipped = skipped.unionByName(there.join(got.select("path"), "path", "left_anti"))
         self.store.write("skipped", skipped)
         fs.delete(self.store._path("_read"), True)
         return report

@@ -569,9 +569,69 @@ def history_filters(spark, sf_dir):
     return git.matching(e, "CLICK", "src/1/").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN v >= 1048576 THEN floor(v / 1048576.0 + 0.5)::BIGINT || ' MB' WHEN v >= 1024 THEN floor(v / 1024.0 + 0.5)::BIGINT || ' KB' ELSE v || ' B' END AS size FROM (SELECT event_id, (event_id * 37)::BIGINT AS v FROM events)")
+@query("SELECT event_id, CASE WHEN v >= 1000000000 THEN printf('%.1f GB', v / 1e9) WHEN v >= 1000000 THEN round_even(v / 1e6, 0)::BIGINT || ' MB' ELSE ceil(v / 1e3)::BIGINT || ' KB' END AS size FROM (SELECT event_id, (event_id * 370037)::BIGINT AS v FROM events)")
 def human_sizes(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", X.human_size(F.col("event_id") * 37).alias("size"))
+    return load(spark, sf_dir, "events").select("event_id", X.human_size(F.col("event_id") * 370037).alias("size"))
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN ceil(s / 60.0)::BIGINT || ' min' ELSE s // 3600 || ' h ' || s % 3600 // 60 || ' min' END AS took FROM (SELECT event_id, round(event_id * 0.75)::BIGINT AS s FROM events)")
+def human_durations(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", X.human_duration(F.col("event_id") * F.lit(0.75)).alias("took"))
+
+
+_COMMENTS = ["@ts-check ", "go:build ", "https://a.b/", "see https://a.b/", " eslint-disable ", "About ", "type: ignore ", "!/usr/bin/env ", "global x ", "globally "]
+
+
+@query("SELECT conv_id, turn, len(list_filter(['@', 'go:', '+build', 'eslint', 'prettier', 'type: ignore', '!/', 'global '], lambda p: starts_with(trim(c), p))) > 0 OR regexp_full_match(trim(c), 'https?://[^ \\t\\n\\r]*') AS directive FROM (SELECT conv_id, turn, [" + ", ".join(f"'{c}'" for c in _COMMENTS) + "][turn % 10 + 1] || CASE WHEN conv_id % 3 = 0 THEN '' ELSE text END AS c FROM conversations)")
+def comment_directives(spark, sf_dir):
+    head = F.get(F.array(*map(F.lit, _COMMENTS)), (F.col("turn") % 10).cast("int"))
+    comment = F.concat(head, F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text")))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", X.is_directive(comment).alias("directive"))
+
+
+@query(r"""WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^ \t\n\r]+'), lambda t: regexp_replace(t, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: NOT regexp_matches(t, '\p{N}')) AS w FROM benchmark),
+l AS (SELECT item_id, list_transform(w, lambda t: regexp_replace(t, '\P{L}', '', 'g')) AS l FROM w)
+SELECT item_id, greatest(coalesce(list_sum(list_transform(list_filter(l, lambda t: regexp_full_match(t, '\p{Latin}+')), lambda t: length(t))), 0), coalesce(list_sum(list_transform(list_filter(l, lambda t: regexp_full_match(t, '\p{Cyrillic}+')), lambda t: length(t))), 0), coalesce(list_sum(list_transform(list_filter(l, lambda t: regexp_full_match(t, '[^\p{Latin}\p{Cyrillic}]+')), lambda t: length(t))), 0))::INT AS letters FROM l""")
+def clean_letters(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").select("item_id", X.clean_letters(F.col("text")).alias("letters"))
+
+
+@query("""
+WITH p AS (SELECT conv_id::VARCHAR AS path, turn AS page, CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END AS text FROM conversations), r AS (SELECT conv_id::VARCHAR AS path, turn AS page, CASE WHEN conv_id % 4 = 0 THEN '' ELSE role END AS text FROM conversations WHERE turn % 2 = 0)
+SELECT path, page, CASE WHEN trim(p.text) = '' AND trim(coalesce(r.text, '')) <> '' THEN r.text ELSE p.text END AS text, trim(p.text) = '' AND trim(coalesce(r.text, '')) <> '' AS recognized FROM p LEFT JOIN r USING (path, page)""")
+def filled_pages(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").withColumns({"path": F.col("conv_id").cast("string"), "page": F.col("turn")})
+    pages = c.select("path", "page", F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    seen = c.where("turn % 2 = 0").select("path", "page", F.when(F.col("conv_id") % 4 == 0, "").otherwise(F.col("role")).alias("text"))
+    return markup.fill_pages(pages, seen)
+
+
+@query("SELECT sha256(string_agg(octet_length(encode(role)) || ':' || role || octet_length(encode(text)) || ':' || text, '' ORDER BY conv_id, turn)) AS hash FROM conversations WHERE conv_id < 20")
+def parallel_set_identity(spark, sf_dir):
+    """A set is a few hundred sentences that people translated; the first twenty conversations stand for one."""
+    few = load(spark, sf_dir, "conversations").where("conv_id < 20")
+    return axes.set_identity(few.select((F.col("conv_id") * 1000 + F.col("turn")).alias("nth"), F.col("role").alias("en"), F.col("text").alias("ru")))
+
+
+@query("SELECT o_orderkey::VARCHAR AS path, (o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0) OR (o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0) AS kept FROM orders")
+def refused_unchanged(spark, sf_dir):
+    """Refused files stay refused unless they changed or could only not be opened."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.unix_timestamp("o_orderdate").alias("modified"), F.lit("s").alias("source"), F.lit("1").alias("reader"), "o_orderkey")
+    walked = o.withColumn("size", F.col("size") + F.when(F.col("o_orderkey") % 4 == 0, 1).otherwise(0)).drop("o_orderkey")
+    refused = o.where("o_orderkey % 3 = 0").withColumn("why", F.when(F.col("o_orderkey") % 5 == 0, "unopened").otherwise("damaged"))
+    return diff.to_read(o.where("o_orderkey % 3 != 0"), walked, refused).select("path", "kept")
+
+
+@query("SELECT event_type, bool_or(NOT s.dirty AND NOT n.dirty) AS covers FROM (SELECT DISTINCT event_type, event_type = 'click' AS dirty FROM events) s, (SELECT false AS dirty) n GROUP BY event_type")
+def revision_covers(spark, sf_dir):
+    """A stored revision stands for another of the same commit if neither tree has edits; one row for each of a few commits."""
+    kinds = [r["event_type"] for r in load(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    out = None
+    for kind in kinds:
+        a, b = (spark.createDataFrame([(kind, dirty)], "id string, dirty boolean") for dirty in (kind == "click", False))
+        one = diff.covers(a, b).select(F.lit(kind).alias("event_type"), "covers")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT doc_id, contains(text, chr(10)) OR length(text) >= 140 AS passage FROM documents")
@@ -608,9 +668,18 @@ def stemmed_search(spark, sf_dir):
     return found_words(stored(spark, sf_dir), QUESTION, 10).select("path", "rank", F.round("score", 6).alias("score"), "share")
 
 
-@query()
+_SENTENCES = r"""
+WITH l AS (SELECT item_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS l FROM benchmark),
+p AS (SELECT item_id, l, unnest(string_split(regexp_replace(line, '([.!?…])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS piece, unnest(range(len(string_split(regexp_replace(line, '([.!?…])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(1))))) AS i FROM l),
+s AS (SELECT item_id, l, i, trim(piece) AS text FROM p WHERE regexp_matches(piece, '[\p{L}\p{N}]')),
+n AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY l, i) - 1)::INT AS nth FROM s)
+SELECT item_id, nth, text, octet_length(encode(text))::BIGINT AS size FROM n WHERE nth < 32"""
+
+
+@query(_SENTENCES)
 def sentences(spark, sf_dir):
-    return explain.each_sentence(load(spark, sf_dir, "benchmark"), "text", "item_id")
+    """The first 32 sentences of each text, as many as an explanation looks at."""
+    return explain.each_sentence(load(spark, sf_dir, "benchmark"), "text", "item_id").select("item_id", "nth", "text", (F.col("end") - F.col("start")).alias("size"))
 
 
 @query()
@@ -641,15 +710,28 @@ def highlight_marks(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", marks.alias("marks"))
 
 
-@query()
+_SOURCE = "import os" + chr(10) + "from .part{k} import x" + chr(10) + chr(10) + "class S{k}:" + chr(10) + "    def run(self, n: int) -> int:" + chr(10) + "        return n" + chr(10) + chr(10) + "def _help{k}():" + chr(10) + "    pass" + chr(10)
+
+
+@query("""
+WITH f AS (SELECT s_suppkey AS k, 'src/s' || s_suppkey || '.py' AS path FROM supplier)
+SELECT path, 'S' || k AS name, 'type' AS kind, 4 AS line, NULL::VARCHAR AS parent, 'class S' || k AS signature, true AS public FROM f
+UNION ALL SELECT path, 'run', 'function', 5, 'S' || k, 'def run(self, n: int) -> int', true FROM f
+UNION ALL SELECT path, '_help' || k, 'function', 8, NULL, 'def _help' || k || '()', false FROM f""")
 def code_symbols(spark, sf_dir):
-    """This library's own sources, read by Spark."""
-    import os
+    """A source file for each supplier."""
+    k = F.col("s_suppkey").cast("string")
+    files = load(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("path"), F.replace(F.lit(_SOURCE), F.lit("{k}"), k).alias("text"))
+    return code.symbols(code.index_files(files)).select("path", "name", "kind", "line", "parent", "signature", "public")
+
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
-    rel = F.regexp_replace("path", "^.*/foliant/", "foliant/")
-    return code.symbols(code.index_files(raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text")))).select("path", "name", "kind", "line", "parent", "signature", "public").where("path NOT LIKE '%/llm/%'")
+@query("""
+WITH f AS (SELECT s_suppkey AS k, 'src/s' || s_suppkey || '.py' AS path FROM supplier)
+SELECT path, 'os' AS module, 1 AS line FROM f UNION ALL SELECT path, '.part' || k, 2 FROM f""")
+def code_imports(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    files = load(spark, sf_dir, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("path"), F.replace(F.lit(_SOURCE), F.lit("{k}"), k).alias("text"))
+    return code.imports(code.index_files(files)).select("path", "module", "line")
 
 
 @query()

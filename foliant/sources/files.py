@@ -6,6 +6,7 @@ import fnmatch
 import os
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +141,11 @@ def not_ignored(files: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFra
     """files(rel, ...) without ignored ones; the rules are few, so they become one column function."""
     if not rules:
         return files
-    keep = F.udf(lambda rel: not ignored(rel, rules), "boolean")
+
+    @F.pandas_udf("boolean")
+    def keep(rel: pd.Series) -> pd.Series:
+        return rel.map(lambda r: not ignored(r, rules))
+
     return files.where(keep("rel"))
 
 

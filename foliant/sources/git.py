@@ -52,6 +52,13 @@ def tree(spark: SparkSession, root: str, revision: str = "HEAD") -> DataFrame:
     return spark.createDataFrame(rows, "path string, oid string")
 
 
+def source_tree(spark: SparkSession, root: str, revision: str = "HEAD") -> DataFrame:
+    """path, oid of the files of a commit that an index of the work tree would hold: of a known language, and not ignored though checked in."""
+    rows = tree(spark, root, revision).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*code.LANGUAGES))
+    ignored = [p for p in git(root, "ls-files", "-z", "--cached", "--ignored", "--exclude-standard").split("\0") if p]
+    return rows.join(F.broadcast(spark.createDataFrame([(p,) for p in ignored], "path string")), "path", "left_anti") if ignored else rows  # listed by git on the driver
+
+
 def commits(spark: SparkSession, root: str, limit: int = HISTORY_LIMIT, known: set[str] = frozenset()) -> DataFrame:
     """id, nth, summary, body, author, time, paths (against the first parent, in order); commits in `known` carry no more than id and nth."""
     mark = "\x1e"

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..operators import chunker
 
 SKIPPED = {"head", "script", "style", "nav", "template", "noscript", "svg", "math", "iframe", "rt", "rp"}
@@ -363,6 +364,21 @@ def html_documents(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html_udf(F.col(key).cast("string"), html).alias("d")).select(key, "d.*")
 
 
+def fill_pages(pages: DataFrame, recognized: DataFrame) -> DataFrame:
+    """pages(path, page, text) with the text of pages that hold none taken from recognized(path, page, text), and `recognized` where it was."""
+    other = recognized.where(F.trim("text") != "").select("path", "page", F.col("text").alias("seen"))
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    filled = pages.join(other, ["path", "page"], "left")
+    return filled.select("path", "page", F.when(blank, F.coalesce("seen", "text")).otherwise(F.col("text")).alias("text"), (blank & F.col("seen").isNotNull()).alias("recognized"))
+
+
+def best_reading(readings: DataFrame) -> DataFrame:
+    """readings(path, page, recognizer, text) -> the reading of each page with most letters in clean words; ties to the first name."""
+    score = F.struct(X.clean_letters(F.col("text")).alias("n"), F.struct("recognizer", "text").alias("r"))
+    best = readings.groupBy("path", "page").agg(F.min_by(score["r"], F.struct(-score["n"], "recognizer")).alias("r"))
+    return best.select("path", "page", "r.*")
+
+
 def layout_paragraphs(lines: DataFrame) -> DataFrame:
     """lines(page, nth, text, top, height) of recognized text -> page, text: a gap of more than 0.8 line heights parts paragraphs.
 

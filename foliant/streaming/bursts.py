@@ -40,22 +40,20 @@ def capped_bursts(events: DataFrame, gap_ms: int = QUIET_MS, longest_ms: int = L
     A quiet time cuts first; inside such a run the cap is a pass from left to right.
     """
     order = W.partitionBy(by).orderBy("ts")
-    ms = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
-    timed = events.withColumn("ms", ms)
-    timed = timed.withColumn("new", F.coalesce((F.col("ms") - F.lag("ms").over(order) > gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    timed = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    timed = timed.withColumn("new", F.coalesce((F.col("us") - F.lag("us").over(order) > 1000 * gap_ms).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
     # a run is dealt out by itself, so a source that never rests long is not one task's work
-    runs = timed.groupBy(by, "run").agg(F.array_sort(F.collect_list("ms")).alias("all"))
-    bursts = F.explode(_capped("all", F.lit(longest_ms))).alias("b")
-    at = lambda c: F.timestamp_micros((c * 1000).cast("long"))
-    return runs.select(by, bursts).select(by, at(F.col("b.first")).alias("start"), at(F.col("b.last")).alias("end"), "b.n")
+    runs = timed.groupBy(by, "run").agg(F.array_sort(F.collect_list("us")).alias("all"))
+    bursts = F.explode(_capped("all", F.lit(1000 * longest_ms))).alias("b")
+    return runs.select(by, bursts).select(by, F.timestamp_micros(F.col("b.first")).alias("start"), F.timestamp_micros(F.col("b.last")).alias("end"), "b.n")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("first", "double").add("last", "double").add("n", "integer")))
+@F.pandas_udf(T.ArrayType(T.StructType().add("first", "long").add("last", "long").add("n", "integer")))
 def _capped(runs: pd.Series, longest: pd.Series) -> pd.Series:
     """Each run of times in order cut greedily: a burst ends before the first event that is `longest` or more after its first."""
     out = []
     for at, cap in zip(runs, longest):
-        at, i, cuts = np.asarray(at, float), 0, []
+        at, i, cuts = np.asarray(at, np.int64), 0, []
         while i < len(at):
             j = max(i + 1, int(np.searchsorted(at, at[i] + cap)))
             cuts.append({"first": at[i], "last": at[j - 1], "n": j - i})
