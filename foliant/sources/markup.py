@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import chunker
+from . import pdf
 
 SKIPPED = {"head", "script", "style", "nav", "template", "noscript", "svg", "math", "iframe", "rt", "rp"}
 BLOCKS = {
@@ -312,8 +313,9 @@ def container_kind(data: bytes) -> str | None:
     return "docx" if any(m in types.lower() for m in main) else None
 
 
-#: Readers for formats that need a library which is not part of this one: bytes -> {pages, bookmarks, title, recognized}, or text.
-pdf_reader: Callable[[bytes], dict] | None = None
+#: The reader of PDF files, bytes -> {pages, bookmarks, title, recognized}; another one may take its place.
+pdf_reader: Callable[[bytes], dict] = pdf.read
+#: Recognition of pictures needs an engine that is not part of this library: bytes -> text.
 ocr_engine: Callable[[bytes], str] | None = None
 
 READ = T.StructType([*chunker.DOCUMENT.fields, T.StructField("kind", T.StringType()), T.StructField("error", T.StringType())])
@@ -334,14 +336,17 @@ def read_bytes(stem: str, kind: str | None, text: str | None, data: bytes | None
             if got["error"]:
                 return none | {"kind": kind, "error": got["error"]}
             return none | chunker.read_blocks(stem, got["blocks"], got["title"], got["aliases"]) | {"kind": kind}
-        if kind == "pdf" and pdf_reader:
-            got = pdf_reader(data)
+        if kind == "pdf":
+            try:
+                got = pdf_reader(data)
+            except pdf.Locked:
+                return none | {"error": "locked"}
             return none | chunker.read_paged(stem, got["pages"], got.get("bookmarks", ()), got.get("title"), got.get("recognized", ()))
         if kind == "image" and ocr_engine:
             return none | chunker.read_picture(stem, ocr_engine(data))
     except Exception as e:  # a damaged file is reported, the others go on
         return none | {"kind": kind, "error": f"damaged: {type(e).__name__}"}
-    return none | {"error": "no reader" if kind in ("pdf", "image") else "not a document"}
+    return none | {"error": "no reader" if kind == "image" else "not a document"}
 
 
 @F.pandas_udf(READ)
