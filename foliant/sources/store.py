@@ -116,7 +116,7 @@ class Store:
         df = df.select(*[c for c in df.columns if c not in partition], *partition)
         number = self._segment(table, df, partition)
         schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-        meta = {"version": self.version, "schema": schema, "extra": extra, "partition": list(partition)}
+        meta = {"version": self.version, "schema": schema, "columns": df.columns, "extra": extra, "partition": list(partition)}
         digest = self.digest(self._open(table, meta, [number]).drop("seg"))
         if old and old["digest"] == digest and old["extra"] == extra and len(old["segments"]) == 1:
             self._fs().delete(self._path(table, f"seg={number}"), True)
@@ -127,12 +127,15 @@ class Store:
     def add(self, table: str, df: DataFrame, partition: tuple = (), **extra) -> int:
         """Add rows as a segment of their own; what is there stays as it is. Returns the segment's number."""
         old = self.meta(table)
-        df = df.select(*[c for c in df.columns if c not in partition], *partition)
+        names = [c for c in df.columns if c not in partition] + list(partition)
+        if old and sorted(old["columns"]) == sorted(names):
+            names = old["columns"]
+        df = df.select(*names)
         number = self._segment(table, df, partition)
         schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
         if old and old["schema"] != schema:
             raise Stale(f"{table}: columns {old['schema']}, not {schema}")
-        self._point(table, {"version": self.version, "schema": schema, "extra": extra, "partition": list(partition), "digest": None, "segments": [*(old["segments"] if old else []), number]})
+        self._point(table, {"version": self.version, "schema": schema, "columns": df.columns, "extra": extra, "partition": list(partition), "digest": None, "segments": [*(old["segments"] if old else []), number]})
         return number
 
     def drop(self, table: str) -> None:

@@ -72,6 +72,37 @@ def test_no_op_update_and_scope(library):
     assert library.search_words("zeppelin")[0].count() == 0
 
 
+def test_an_update_writes_the_changed_documents_only(library):
+    def segments(table):
+        meta = library.store.meta(table)
+        return {n: library.store._open(table, meta, [n]).count() for n in meta["segments"]}
+
+    before = segments("chunks")
+    path = put(library.root_folder, "bicycle.txt", "The bicycle has a bell and a dynamo.\n")
+    assert library.update([path]).changed == 1
+    after = segments("chunks")
+    assert {n: c for n, c in after.items() if n in before} == before and [c for n, c in after.items() if n not in before] == [1]
+    assert names(library.search_words("dynamo")[0]) == ["bicycle.txt"] and library.search_words("chain")[0].count() == 0
+    library.merge()
+    assert len(segments("chunks")) == 1 and sum(segments("chunks").values()) == library.chunks().count() == 4
+    assert names(library.search_words("dynamo")[0]) == ["bicycle.txt"]
+    put(library.root_folder, "bicycle.txt", "The bicycle needs a chain. INV-2025-0114.\n")
+    assert library.update([path]).changed == 1 and names(library.search_words("chain")[0]) == ["bicycle.txt"]
+    assert not library.store._names("_read")
+
+
+def test_files_that_could_not_be_read_are_kept_in_mind(library):
+    path = os.path.join(library.root_folder, "broken.docx")
+    with open(path, "wb") as f:
+        f.write(b"PK\x03\x04 no archive")
+    assert library.update([path]).skipped == 1
+    assert [(os.path.basename(r["path"])) for r in library.health().collect()] == ["broken.docx"]
+    assert library.update().skipped == 0 and library.health().count() == 1  # refused as it was, not tried again
+    os.remove(path)
+    library.update()
+    assert library.health().count() == 0
+
+
 def test_vectors_and_one_list(library):
     assert library.update_vectors() == 4 and library.update_vectors() == 0
     found, _ = library.search("tomatoes water", now=10**9)
@@ -79,6 +110,11 @@ def test_vectors_and_one_list(library):
     assert os.path.basename(rows[0]["path"]) == "tomatoes.md" and rows[0]["words_rank"] == 1 and rows[0]["meaning_rank"] == 1
     path = rows[0]["path"]
     assert path not in [r["path"] for r in library.similar(path, now=10**9).collect()]
+    near = library.similar(passage="The tomatoes need water in the evenings.", now=10**9).orderBy(F.desc("score"), "path").first()
+    assert near["path"] == path
+    told = library.explain(library.search("zeppelin evenings garden", now=10**9)[0], "zeppelin evenings garden").where("why is not null").collect()
+    assert all(r["why"]["sentence"] in r["why"]["window"]["fragment"] for r in told)
+    assert all(r["words_rank"] is None for r in told)
 
 
 def test_status_health_preview(library):
@@ -102,6 +138,57 @@ def test_common_words_give_way(spark):
     assert not every and {r["path"]: r["share"] for r in found.collect()} == {"a": 0.5, "b": 0.5}
 
 
+def test_store_pointers(spark, tmp_path):
+    """A reader that has begun keeps its rows through the next write; a crash leaves the old state; a lock left behind gives way."""
+    s = Store(spark, f"file://{tmp_path}")
+    s.write("t", spark.range(3))
+    begun = s.read("t")
+    s.write("t", spark.range(5))
+    assert begun.count() == 3 and s.read("t").count() == 5
+    n = s.add("t", spark.range(2))
+    assert s.read("t").count() == 7 and s.read("t", segments=True).where(F.col("seg") == n).count() == 2
+    s._segment("t", spark.range(9), ())  # written, but never pointed to
+    assert s.read("t").count() == 7
+    s.write("t", spark.range(1))
+    s.write("t", spark.range(2))
+    assert len([x for x in s._names("t") if x.startswith("seg=")]) == 2
+    lock = s.lock()
+    lock.__enter__()
+    with pytest.raises(Busy):
+        s.lock().__enter__()
+    os.utime(f"{tmp_path}/_lock", (0, 0))
+    with s.lock():
+        pass
+
+
+def test_parsed_files_are_taken_over(spark):
+    files_ = spark.createDataFrame([("a.py", "def f(): pass\n"), ("b.py", "x = 1\n"), ("c.txt", "no")], "path string, text string")
+    first = code.index_files(files_).cache()
+    changed = spark.createDataFrame([("a.py", "def f(): pass\n"), ("b.py", "def g(): pass\n")], "path string, text string")
+    again = code.reindex(changed, first.withColumn("header", F.lit("kept")))
+    assert {(r["path"], r["header"], len(r["symbols"])) for r in again.collect()} == {("a.py", "kept", 1), ("b.py", None, 1)}
+
+
+def test_prose_is_asked_for_once(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([("a", "h1", "one"), ("b", "h2", "two"), ("c", "h1", "one")], "path string, hash string, text string")
+    asked = []
+
+    def generate(text):
+        asked.append(text)
+        return f"about {text}", 0.5 if text == "one" else None
+
+    got, spent = code.describe(rows, s, generate)
+    assert {r["path"]: r["prose"] for r in got.collect()} == {"a": "about one", "b": "about two", "c": "about one"}
+    assert sorted(asked) == ["one", "two"] and spent == {"cached": 0, "asked": 2, "cost": 0.5}
+    assert code.describe(rows, s, generate)[1] == {"cached": 3, "asked": 0, "cost": 0.0}
+
+
+def test_directives_are_no_headers():
+    ts = code.read_source("typescript", "// @vitest-environment jsdom\n// Reads the settings.\nexport const a = 1;\n")
+    assert ts["header"] == "Reads the settings."
+
+
 def test_store_one_writer_and_formats(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}")
     assert s.write("t", spark.range(3)) and not s.write("t", spark.range(3)) and s.write("t", spark.range(4))
