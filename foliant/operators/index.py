@@ -149,3 +149,48 @@ def _all(tests) -> Column:
     for t in tests:
         out = out & t
     return out
+
+
+def search(rows: DataFrame, totals: DataFrame, query: str, limit: int = 10, stemmed: bool = True, order: str = "line") -> tuple[list, bool]:
+    """`words.answer` over stored postings and figures."""
+    clauses, _ = words.parse(query, stemmed)
+    if not query.strip() or limit <= 0 or not clauses:
+        return [], False
+    if len({c.terms[0] for c in clauses}) < 63 and all(len(c.terms) == 1 and c.field is None and not c.sign for c in clauses) and not words.parse(query, stemmed)[1]:
+        return _plain(rows, totals, query, [c.terms[0] for c in clauses], limit, stemmed, order)
+    return words.answer(Indexed(rows, totals, words.known_clauses(query, stemmed), order), query, limit, stemmed, order)
+
+
+def _plain(rows: DataFrame, totals: DataFrame, query: str, asked: list[str], limit: int, stemmed: bool, order: str) -> tuple[list, bool]:
+    """Words alone: each posting adds its own part to its chunk's score, so nothing is spread out by term and field.
+
+    One small aggregate gives the document frequencies; in the other pass chunks with all words go before those with some.
+    """
+    figures = {r["field"]: r for r in totals.collect()}  # one row a field
+    n = max((r["n"] for r in figures.values()), default=0)
+    terms = sorted(set(asked))
+    hits = rows.where(F.col("bucket").isin(sorted(set(map(bucket_of, terms)))) & F.col("term").isin(terms) & F.col("field").isin(*words.BOOSTS))
+    df = {(r["field"], r["term"]): r["count"] for r in hits.groupBy("field", "term").count().collect()}  # asked terms by field
+    if not df:
+        return [], False
+    body = {t: df.get(("body", t), 0) for t in terms}
+    rest = {c.terms[0] for c in words.parse(words.drop_common(query, body, n, stemmed), stemmed)[0]} & set(terms)
+    pair = lambda f, t: F.concat(f, F.lit("\n"), t)
+    # a word that is asked for twice counts twice
+    weight = F.create_map(*[F.lit(x) for (f, t), d in df.items() for x in (f"{f}\n{t}", words.BOOSTS[f] * words.idf(n, d))])
+    times = F.create_map(*[F.lit(x) for t in terms for x in (t, float(asked.count(t)))])
+    average = F.create_map(*[F.lit(x) for f, r in figures.items() for x in (f, float(r["average"] or 1.0))])
+    bit = F.create_map(*[F.lit(x) for k, t in enumerate(terms) for x in (t, 1 << k)])[F.col("term")].cast("long")
+    tf = F.col("tf").cast("double")
+    part = weight[pair(F.col("field"), F.col("term"))] * tf * (words.K1 + 1) / (tf + words.K1 * (1 - words.B + words.B * F.col("len") / average[F.col("field")]))
+    wanted = sum(1 << k for k, t in enumerate(terms) if t in rest)
+    chosen = F.col("term").isin(sorted(rest)) if rest else F.lit(False)
+    aggs = [F.max("links").alias("links"), F.bit_or(bit).alias("held"), F.sum(part * times[F.col("term")]).alias("whole"), F.sum(F.when(chosen, part * times[F.col("term")])).alias("some")]
+    chunks = hits.groupBy("path", order).agg(*aggs).withColumn("every", F.col("held") == (1 << len(terms)) - 1)
+    score = X.backlink_boost(F.when(F.col("every"), F.col("whole")).otherwise(F.col("some")), F.col("links"))
+    share = F.when(F.col("every"), 1.0).otherwise(F.bit_count(F.col("held").bitwiseAND(F.lit(wanted).cast("long"))) / max(1, len(rest)))
+    scored = chunks.where(F.col("every") | F.col("some").isNotNull()).select("path", order, "every", F.round(score, 9).alias("score"), share.alias("share"))
+    best = scored.groupBy("path").agg(F.max_by(F.struct(order, "every", "score", "share"), F.struct("every", "score", -F.col(order))).alias("b")).select("path", "b.*")
+    top = best.orderBy(F.desc("every"), F.desc("score"), "path").limit(limit).collect()  # `limit` rows
+    together = bool(top) and top[0]["every"]
+    return [(r["path"], r[order], r["score"], r["share"], k) for k, r in enumerate([r for r in top if r["every"] or not together], 1)], together

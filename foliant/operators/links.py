@@ -70,13 +70,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _parents(spans: pd.Series) -> pd.Series:
-    """Of spans (start, end, id) in order: the number of the innermost other one around each, or null."""
+def _parents(ends: pd.Series) -> pd.Series:
+    """Of spans in order of start, given by their ends: the number of the innermost other one around each, or null."""
     out = []
-    for file in spans:
+    for file in ends:
+        file = file.tolist()
         opened, parents = [], []
-        for k, s in enumerate(file):
-            while opened and file[opened[-1]]["end"] < s["end"]:
+        for k, end in enumerate(file):
+            while opened and file[opened[-1]] < end:
                 opened.pop()
             parents.append(opened[-1] if opened else None)
             opened.append(k)
@@ -92,7 +93,7 @@ def innermost_parent(symbols: DataFrame) -> DataFrame:
     """
     order = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), (-F.col("end").cast("long")).alias("back"), F.col("id").alias("id"))))
     files = symbols.groupBy("path").agg(order.alias("all"))
-    files = files.withColumn("parents", _parents(F.transform("all", lambda s: F.struct(s["start"].alias("start"), (-s["back"]).alias("end")))))
+    files = files.withColumn("parents", _parents(F.transform("all", lambda s: -s["back"])))
     ids = F.transform("all", lambda s: s["id"])
     both = F.arrays_zip(ids.alias("id"), F.transform("parents", lambda k: F.get(ids, k.cast("int"))).alias("parent"))
     found = files.select("path", F.explode(both).alias("b")).select("path", F.col("b.id").alias("id"), F.col("b.parent").alias("parent"))

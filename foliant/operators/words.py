@@ -144,7 +144,7 @@ def common(word: str, body_df: dict[str, int], rows: int, stemmed: bool = True)
     return bare.isalnum() and bool(terms) and all(2 * body_df.get(t, 0) > rows for t in terms)
 
 
-def _distinctive(query: str, df: dict[str, int], rows: int, stemmed: bool) -> str:
+def drop_common(query: str, df: dict[str, int], rows: int, stemmed: bool) -> str:
     return " ".join(w for w in query.split() if not common(w, df, rows, stemmed)) or query
 
 
@@ -158,7 +158,7 @@ def distinctive(query: str, chunks: DataFrame, stemmed: bool = True) -> str:
     if not terms:
         return query
     figures = corpus(chunks.select(F.struct(F.col("terms.body").alias("body")).alias("terms")), [Clause((t,)) for t in terms])
-    return _distinctive(query, {t: figures.df["body", i] for i, t in enumerate(terms)}, figures.rows, stemmed)
+    return drop_common(query, {t: figures.df["body", i] for i, t in enumerate(terms)}, figures.rows, stemmed)
 
 
 class Counted:
@@ -221,7 +221,7 @@ def answer(counted, query: str, limit: int = 10, stemmed: bool = True, order: st
         every = matched(counted, clauses, not either)
     else:
         body = {c.terms[0]: row[f"df_body_{i}"] for i, c in enumerate(known) if c.field is None and len(c.terms) == 1} if "body" in fields else {}
-        rest, _ = parse(_distinctive(query, body, counted.n, stemmed), stemmed)
+        rest, _ = parse(drop_common(query, body, counted.n, stemmed), stemmed)
         if all((c.terms, c.field) in counted.at for c in rest):  # dropping a word from inside a phrase would make a new one
             clauses = rest
         every = matched(counted, clauses, False)

@@ -254,9 +254,8 @@ class Library:
 
     def search_words(self, query: str, limit: int = 10) -> tuple[DataFrame, bool]:
         found, every = [], False
-        if query.strip() and limit > 0 and words.parse(query)[0] and self.store.meta("figures"):
-            indexed = index.Indexed(self._live("postings"), self.store.read("figures"), words.known_clauses(query))
-            found, every = words.answer(indexed, query, limit)
+        if self.store.meta("figures"):
+            found, every = index.search(self._live("postings"), self.store.read("figures"), query, limit)
         frag = explain.fragment_column(F.col("body"), words.terms_of(query))
         kept = ["path", "rank", "score", "share", "title", "headings", "line", "modified"]
         return words.shown(self.chunks([f[0] for f in found]), found).withColumn("f", frag).select(*kept, "f.fragment", "f.highlights"), every

@@ -68,8 +68,7 @@ def stored(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> Store:
 
 def found_words(store: Store, question: str, limit: int, stemmed: bool = True) -> DataFrame:
     """The words half over a stored index."""
-    got = index.Indexed(store.read("postings"), store.read("figures"), words.known_clauses(question, stemmed))
-    found, _ = words.answer(got, question, limit, stemmed)
+    found, _ = index.search(store.read("postings"), store.read("figures"), question, limit, stemmed)
     return words.shown(_chunks_of(store, [f[0] for f in found]), found)
 
 

@@ -70,16 +70,16 @@ def test_search_by_brute_force(spark, sf):
     terms = lambda t: [stem(w.lower()) for w in re.findall(r"[^\W_]+", t) if len(w.encode()) < 48]
     held = {p: {f: terms(t) for f, t in d.items()} for p, d in docs.items()}
     rows = index.postings(library(spark, sf).select("path", "title", "body", "line")).cache()
-    for query in ("the software", '"licensed under" the', "title:src1 was", "zeppelinesque"):
+    for query in ("the software", '"licensed under" the', "title:src1 was", "zeppelinesque", "the the software", "+the software"):
         clauses, _ = words.parse(query)
         n = len(held)
         average = {f: sum(len(d[f]) for d in held.values()) / n for f in ("title", "body")}
         tf = {(p, f, c): sum(d[f][i : i + len(c.terms)] == list(c.terms) for i in range(len(d[f]))) for p, d in held.items() for f in ("title", "body") for c in clauses if c.field in (None, f)}
         df = {(f, c): sum(tf[p, f, c] > 0 for p in held) for f in ("title", "body") for c in clauses if c.field in (None, f)}
         every = {p for p in held if all(any(tf.get((p, f, c)) for f in ("title", "body")) for c in clauses)}
-        indexed = index.Indexed(rows, index.figures(rows), words.known_clauses(query))
-        found, together = words.answer(indexed, query, 10)
+        found, together = index.search(rows, index.figures(rows), query, 10)
         assert together == bool(every)
+        assert words.answer(index.Indexed(rows, index.figures(rows), words.known_clauses(query)), query, 10) == (found, together)
         if not every:
             continue
         score = {p: round(sum(words.BOOSTS[f] * math.log(1 + (n - df[f, c] + 0.5) / (df[f, c] + 0.5)) * tf[p, f, c] * 2.2 / (tf[p, f, c] + 1.2 * (0.25 + 0.75 * len(held[p][f]) / average[f])) for f, c in df if tf[p, f, c]), 9) for p in every}
