@@ -239,8 +239,8 @@ def _braces(source: str, language: str) -> dict:
     header = None
     top = re.match(r"(?:\s*//!.*\n?)+" if language == "rust" else r"\s*(?:/\*\*.*?\*/|(?://[^\n]*\n)+)", source, re.S if language != "rust" else 0)
     if top:
-        said = _dedent(re.sub(r"(?m)^\s*(//!?|/\*+|\*+/|\*)\s?|\s*\*/", "", top[0]).strip())
-        header = "\n".join(x for x in said.split("\n") if not directive(x)).strip() or None
+        said = re.sub(r"(?m)^\s*(//!?|/\*+|\*+/|\*)\s?|\s*\*/", "", top[0]).strip()
+        header = _dedent("\n".join(x for x in said.split("\n") if not directive(x)).strip()) or None
     return {"symbols": symbols, "imports": _brace_imports(source, code, language), "header": header}
 
 
