@@ -1,16 +1,24 @@
-"""Near duplicates by exact Jaccard similarity of shingle sets: links are complete and each one is verified.
-
-Sets that are at least 4/5 alike share one of their first n - ceil(4n/5) + 1 shingles under any one
-order of all shingles (prefix filter), so all such pairs meet in the bucket of a shingle. The order
-is by hash, with shingles that a sample shows to be common put last; it decides only how large
-buckets get, never which pairs are found. A pair is given up early only by bounds that lose
-none: sizes, and parities of shingle counts in 2n to 4n cells, of which no more can differ than there
-are shingles in one set alone. The members of each bucket are compared with its least and greatest
-one, those of small buckets with each other; large buckets that these links don't join go on as
-pairs of chunks, first with the parities alone; members that these leave a partner carry their sets
-there in a second pass, and each pair of chunks reports a forest of verified links, so that a large
-group of near copies isn't expanded into pairs. To be verified, the partners of a set come to it in
-groups of bounded size, so that each travels once for a pair and the set itself once for a group.
+"""Near duplicates by bit-sliced SimHash, with exact Jaccard similarity: links are complete and each one is verified.
+
+The comparison is that of `op7`: a SimHash of each set (128 bits), bit planes, carry-save counters,
+blocks abandoned once all lanes are beyond the radius. 64 bits can't tell 0.8, and no bands meet at a
+radius that does, so the buckets in which fingerprints are compared are those of a prefix filter:
+sets that are at least 4/5 alike share one of their first n - ceil(4n/5) + 1 shingles under any one
+order of all shingles, so all such pairs meet in the bucket of a shingle. The order is by hash, with
+shingles that a sample shows to be common put last; it decides only how large buckets get, never
+which pairs are found. Each bucket, or pair of chunks of a large one, reports a forest of links
+within the radius; each of these is verified on the whole sets, and star contraction joins what
+holds.
+
+Fingerprints are a matter of chance, so whatever meets in a bucket and is still apart after that is
+compared once more in an exact way, whatever its fingerprints say. There a pair is given up early
+only by bounds that lose none: sizes, and parities of shingle counts in 2n to 4n cells, of which no
+more can differ than there are shingles in one set alone. The members of small buckets are compared
+with each other; large buckets go on as pairs of chunks, first with the parities alone; members that
+these leave a partner carry their sets there in a second pass, and each pair of chunks reports a
+forest of verified links, so that a large group of near copies isn't expanded into pairs. To be
+verified, the partners of a set come to it in groups of bounded size, so that each travels once for
+a pair and the set itself once for a group.
 Every link given has 9 |A and B| >= 4 (|A| + |B|), which is Jaccard >= 4/5.
 
 Candidates are told by 64 bits of a shingle's hash. What travels for verification is 32 bits of each
@@ -31,11 +39,17 @@ from pyspark.sql import functions as F
 
 from ._common import free_prefix, release, settle, slices, stage, text_or_empty, tidy
 from .graph import connected_components
+from .planes import bit_sliced_forest, majority
 
 #: Texts of the sample from which the common shingles are told, and how many are remembered. No result depends on them.
 SAMPLE, COMMON = 4096, 65_536
 #: Members of a bucket that are paired by a join; larger ones are dealt in chunks of so many shingles.
 SMALL, CHUNK_SHINGLES = 32, 1 << 18
+#: Longs of a fingerprint, and the differing bits at which it makes a candidate. Sets just 4/5 alike differ in 19 of 128 bits
+#: on average (standard deviation 4), unrelated ones in 64 (6). No result depends on them.
+WORDS, RADIUS = 2, 36
+#: Members of a bucket whose fingerprints are compared in one place; pairs of chunks beyond that.
+CHUNK = 4096
 #: Partners that are compared with a set in one place.
 MEMBERS = 1024
 
@@ -56,6 +70,23 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set, (n, WORDS) signed; that of an empty set is zero."""
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    there = [i for i, s in enumerate(sets) if len(s)]
+    size = np.array([len(sets[i]) for i in there], np.int64)
+    block = np.cumsum(size) >> 17  # of bounded size, but for a longer set
+    for b in np.unique(block):
+        own = np.flatnonzero(block == b)
+        tokens = np.concatenate([sets[there[i]] for i in own]).view(np.uint64)
+        for w in range(WORDS):
+            out[[there[i] for i in own], w] = majority(tokens, size[own])
+            tokens = (tokens ^ tokens >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+            tokens = (tokens ^ tokens >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            tokens ^= tokens >> np.uint64(32)
+    return out.view(np.int64)
+
+
 def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles, of which sets at least 4/5 alike share one; common ones (sorted) come last."""
     n = len(tokens)
@@ -183,6 +214,35 @@ def hopeful(n: np.ndarray, label: np.ndarray, bits: list[bytes]) -> np.ndarray:
     return out
 
 
+def compared(met: DataFrame, prints: DataFrame) -> DataFrame:
+    """met(same, sid), the members of buckets; prints(sid, fp) -> candidates (a, b), each once: in every bucket a forest of the links within RADIUS."""
+    sized = met.groupBy("same").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("c")).where("c > 1")
+    wide = met.join(sized, "same", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    wide = wide.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    units = wide.select("same", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid").join(prints, "sid")
+
+    def candidates(sid: np.ndarray, fp, group: np.ndarray) -> pd.DataFrame:
+        _, a, b = bit_sliced_forest(np.stack(fp).astype(np.int64).view(np.uint64), group, RADIUS)
+        return pd.DataFrame({"a": np.minimum(sid[a], sid[b]), "b": np.maximum(sid[a], sid[b])})
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            cols = pdf[["same", "i", "j"]].to_numpy()
+            change = np.r_[True, (cols[1:] != cols[:-1]).any(axis=1)] if len(cols) else np.zeros(0, bool)
+            last = int(np.flatnonzero(change)[-1]) if len(cols) else 0
+            carry = pdf.iloc[last:]
+            if last:
+                yield candidates(pdf["sid"].to_numpy()[:last], pdf["fp"].to_numpy()[:last], np.cumsum(change[:last]))
+        if carry is not None and len(carry):
+            yield candidates(carry["sid"].to_numpy(), carry["fp"].to_numpy(), np.zeros(len(carry), np.int64))
+
+    ready = units.repartition("same", "i", "j").sortWithinPartitions("same", "i", "j")
+    return ready.mapInPandas(tidy(run), "a long, b long").distinct()
+
+
 def by_units(wide: DataFrame, unit, schema: str) -> DataFrame:
     """unit(rows) for the rows of each tok, i, j, which are of bounded size."""
 
@@ -225,22 +285,17 @@ def components(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str
             for a, b in slices(texts):
                 sets = [shingle_set(t, shingle) for t in texts[a:b]]
                 sid = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-                yield pd.DataFrame({"k": pdf["k"].iloc[a:b].values, "h": pdf["h"].iloc[a:b].values, "sid": np.array(sid, np.uint64).view(np.int64), "n": [len(s) for s in sets], "bits": [parities(s) for s in sets], "pre": [prefix(s, common) for s in sets], "s": [packed(s) for s in sets]})
+                yield pd.DataFrame({"k": pdf["k"].iloc[a:b].values, "h": pdf["h"].iloc[a:b].values, "sid": np.array(sid, np.uint64).view(np.int64), "n": [len(s) for s in sets], "bits": [parities(s) for s in sets], "fp": list(fingerprints(sets)), "pre": [prefix(s, common) for s in sets], "s": [packed(s) for s in sets]})
 
-    read = stage(rows.mapInPandas(tidy(prefixes), f"k {kind}, h long, sid long, n long, bits binary, pre array<long>, s binary"), "shingle-sets")
+    read = stage(rows.mapInPandas(tidy(prefixes), f"k {kind}, h long, sid long, n long, bits binary, fp array<long>, pre array<long>, s binary"), "shingle-sets")
     of_one = W.partitionBy("tok")
     met = read.select("sid", "n", F.explode("pre").alias("tok")).repartition("tok").dropDuplicates(["tok", "sid"])
-    met = met.withColumns({"lo": F.min("sid").over(of_one), "hi": F.max("sid").over(of_one)}).where("lo < hi")
-    met = stage(met, "shingle-met")
+    met = met.withColumns({"lo": F.min("sid").over(of_one), "hi": F.max("sid").over(of_one), "sum": F.sum(F.shiftright(F.xxhash64("sid"), 20)).over(of_one)}).where("lo < hi")
+    # buckets of the same members have the same fingerprints to compare
+    met = stage(met.withColumn("same", F.xxhash64("lo", "hi", "sum")).drop("lo", "hi", "sum"), "shingle-met")
     settle()
-    bits = stage(read.select("sid", "n", "bits").join(met.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shingle-bits")
+    bits = stage(read.select("sid", "n", "bits", "fp").join(met.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]), "shingle-bits")
     settle()
-    leaders = met.select("sid", F.explode(F.array("lo", "hi")).alias("other")).where("sid <> other")
-    leaders = stage(plausible(leaders.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), bits), "shingle-leaders")
-    sized = met.withColumn("m", F.count("*").over(of_one)).where(F.col("m") <= SMALL)
-    x, y = (sized.select("tok", F.col("sid").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    near = x.join(y, "tok").where("a < b and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
-    near = stage(plausible(near, bits), "shingle-near")
 
     def whole(sids: DataFrame) -> DataFrame:
         """sid, s of some sets, once each."""
@@ -248,34 +303,36 @@ def components(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str
         settle()
         return out
 
-    pairs = stage(leaders.unionByName(near).distinct(), "shingle-pairs")
-    release(leaders, near)
-    sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
-    # one partner of each set first, which joins most groups; then whatever pairs are still apart
-    stars = stage(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "shingle-stars")
+    pairs = stage(compared(met.select("same", "sid").distinct(), bits.select("sid", "fp")), "shingle-compared")
     settle()
-    roots = connected_components(stars).withColumnsRenamed({"node": "sid", "root": "lab"})
-    root_a, root_b = (roots.select(F.col("sid").alias(x), F.col("lab").alias(f"l{x}")) for x in "ab")
-    apart = pairs.join(root_a, "a", "left").join(root_b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    few = stage(verified(apart, sets), "shingle-few")
+    sets = whole(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+    links = stage(verified(pairs, sets), "shingle-links")
     release(pairs, sets)
-    links = stars.unionByName(few)
+    # whatever meets and is still apart
     roots = connected_components(links).withColumnsRenamed({"node": "sid", "root": "lab"})
-    left = met.drop("lo", "hi").withColumn("m", F.count("*").over(of_one)).where(F.col("m") > SMALL).join(roots, "sid", "left").withColumn("lab", F.coalesce("lab", "sid"))
-    left = left.withColumns({"lo": F.min("lab").over(of_one), "hi": F.max("lab").over(of_one), "total": F.sum("n").over(of_one)})
+    left = met.drop("same").join(roots, "sid", "left").withColumn("lab", F.coalesce("lab", "sid"))
+    left = left.withColumns({"lo": F.min("lab").over(of_one), "hi": F.max("lab").over(of_one), "m": F.count("*").over(of_one), "total": F.sum("n").over(of_one)})
     left = stage(left.where("lo < hi").drop("lo", "hi"), "shingle-left")
     release(met)
-    if not left.limit(1).count():
-        release(bits)
-        return read.drop("pre", "bits", "s"), connected_components(links)
-    wide = left.withColumn("c", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
+    x, y = (left.where(F.col("m") <= SMALL).select("tok", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("lab").alias(f"l{s}")) for s in "ab")
+    near = x.join(y, "tok").where("a < b and la <> lb and 5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b").distinct()
+    near = stage(plausible(near, bits.drop("fp")), "shingle-near")
+    sets = whole(near.select(F.explode(F.array("a", "b")).alias("sid")))
+    few = stage(verified(near, sets), "shingle-few")
+    release(near, sets)
+    links = links.unionByName(few)
+    large = left.where(F.col("m") > SMALL)
+    if not large.limit(1).count():
+        release(left, bits)
+        return read.drop("pre", "bits", "fp", "s"), connected_components(links)
+    wide = large.withColumn("c", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("tok", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "lab")
-    some = stage(by_units(wide.join(bits, "sid"), _hopeful, "tok long, i int, j int, sid long, lab long"), "shingle-some")
+    some = stage(by_units(wide.join(bits.drop("fp"), "sid"), _hopeful, "tok long, i int, j int, sid long, lab long"), "shingle-some")
     release(bits)
     sets = whole(some.select("sid"))
     many = stage(by_units(some.join(sets, "sid"), _linked, "a long, b long"), "shingle-many")
     release(left, some, sets)
-    return read.drop("pre", "bits", "s"), connected_components(links.unionByName(many))
+    return read.drop("pre", "bits", "fp", "s"), connected_components(links.unionByName(many))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
