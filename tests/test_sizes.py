@@ -1,11 +1,12 @@
 """What must not grow with the input: what one task reads and what a Python worker holds."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.functions import batches
-from foliant.operators import index
+from foliant.operators import index, many, words
 from foliant.plans import queries
 from foliant.sources.store import Store
 
@@ -35,3 +36,30 @@ def test_postings_of_a_batch_come_in_stored_order(spark):
 def test_pieces_bound_the_texts_held_at_once():
     assert list(batches.pieces(["aa", None, "bb", "cccccc", "d"], 4)) == [(0, 3), (3, 4), (4, 5)]
     assert list(batches.pieces([], 4)) == []
+
+
+def test_many_questions_carry_only_their_best(spark, monkeypatch):
+    monkeypatch.setattr(many, "TEXTS", 7)
+    monkeypatch.setattr(many, "QUESTIONS", 2)
+    bodies = [" ".join("abcdefgh"[j] for j in range(8) for _ in range((i * (j + 3)) % 5)) + " z" * (i % 3) for i in range(90)] + ["a b c z", "c z b a"] * 8 + [None]
+    chunks = spark.createDataFrame([(f"p{i:03}", b) for i, b in enumerate(bodies)], "path string, body string").repartition(3)
+    asks = {1: "abz", 2: "c", 3: "hgx", 4: "x", 5: "abcdefghz"}
+    asked = spark.createDataFrame([(q, t) for q, ts in asks.items() for t in ts + ts[0]], "query_id long, term string")
+    df = many.bm25_many(chunks, asked, 6, "path")
+    found = [t.split() if t else [] for t in bodies]
+    average = sum(map(len, found)) / len(found)
+    want = []
+    for q, ts in asks.items():
+        scores = []
+        for i, ws in enumerate(found):
+            score = 0.0
+            for t in ts:
+                n = sum(t in x for x in found)
+                score += words.idf(len(found), n) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / average))
+            if score:
+                scores.append((-round(score, 9), f"p{i:03}"))
+        want += [(q, p, k, round(-s, 6)) for k, (s, p) in enumerate(sorted(scores)[:6], 1)]
+    assert sorted((r["query_id"], r["path"], r["rank"], round(r["score"], 6)) for r in df.collect()) == sorted(want)
+    assert df._jdf.queryExecution().toString().count("Exchange hashpartitioning(path") == 0  # texts and their terms are not dealt out
+    held = many.leading(pd.DataFrame({"q": 0, "key": [f"p{i:04}" for i in range(5000)], "score": 1.5}), 6)
+    assert list(held["key"]) == [f"p{i:04}" for i in range(6)]
