@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import batches
@@ -63,3 +64,18 @@ def test_many_questions_carry_only_their_best(spark, monkeypatch):
     assert df._jdf.queryExecution().toString().count("Exchange hashpartitioning(path") == 0  # texts and their terms are not dealt out
     held = many.leading(pd.DataFrame({"q": 0, "key": [f"p{i:04}" for i in range(5000)], "score": 1.5}), 6)
     assert list(held["key"]) == [f"p{i:04}" for i in range(6)]
+
+
+@pytest.mark.parametrize("name", ["postings", "chunk_documents", "html_pages"])
+def test_arrow_batches_are_cut_by_bytes(spark, sf, name):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.unset(conf)
+    try:
+        queries.QUERIES[name](spark, sf)
+        assert int(spark.conf.get(conf)) == batches.BATCH_BYTES
+        spark.conf.set(conf, "1000000")
+        queries.QUERIES[name](spark, sf)
+        assert spark.conf.get(conf) == "1000000"
+    finally:
+        spark.conf.set(conf, before.rstrip("b"))
